@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import tokens
+from paperloom.llm import mixture, spam, tokens
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -24,3 +24,23 @@ def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p7_ids": p7_ids, "p7_sizes": p7_sizes}
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed documents with their copies."""
+    counted = mixture.sizes(table(spark, d, "documents"))
+    return mixture.mixture(counted, mixture.rates(counted, table(spark, d, "mix_targets")))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares asked for and reached."""
+    counted = mixture.sizes(table(spark, d, "documents"))
+    return mixture.shares(counted, mixture.rates(counted, table(spark, d, "mix_targets")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of keywords, links or tags rather than sentences."""
+    return spam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
