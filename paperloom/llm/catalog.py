@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixture, spam, tokens
+from paperloom.llm import mixture, spam, split, tokens
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -44,3 +44,26 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """(item_table, citation_key, text) of both tables with long texts; exact duplicate rows once."""
+    corpus = table(spark, d, "corpus").select(F.lit("corpus").alias("item_table"), "citation_key", "text")
+    contexts = table(spark, d, "summarization_contexts").select(F.lit("summarization_contexts").alias("item_table"), "citation_key", F.col("full_text").alias("text"))
+    return corpus.unionByName(contexts)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that have to be cut."""
+    return split.oversized(_texts(spark, d), "text", ["item_table", "citation_key"]).select("item_table", "citation_key").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered pieces of every text."""
+    return split.pieces(_texts(spark, d), "text", ["item_table", "citation_key"])
+
+
+QUERIES |= {"p4_found": p4_found, "p4_pieces": p4_pieces}
+ORACLES["p4_found"] = """
+select distinct item_table, citation_key from (select 'corpus' as item_table, citation_key, text from corpus
+union all select 'summarization_contexts', citation_key, full_text from summarization_contexts) where length(text) > 6000"""
