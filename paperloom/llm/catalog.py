@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixture, spam, split, tokens
+from paperloom.llm import mixture, scans, spam, split, tokens
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -67,3 +67,11 @@ QUERIES |= {"p4_found": p4_found, "p4_pieces": p4_pieces}
 ORACLES["p4_found"] = """
 select distinct item_table, citation_key from (select 'corpus' as item_table, citation_key, text from corpus
 union all select 'summarization_contexts', citation_key, full_text from summarization_contexts) where length(text) > 6000"""
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged lines of scanned texts."""
+    return scans.found_lines(_texts(spark, d), table(spark, d, "library").select("venue"))
+
+
+QUERIES |= {"p6_found": p6_found}
