@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixture, scans, spam, split, tokens
+from paperloom.llm import clusters, mixture, scans, spam, split, tokens
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -75,3 +75,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Papers in clusters of mutually similar directions, with the smallest key of the cluster."""
+    return clusters.members(table(spark, d, "paper_embeddings")).select("citation_key", "cluster_key")
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical papers of each cluster."""
+    return clusters.described(clusters.members(table(spark, d, "paper_embeddings")))
+
+
+QUERIES |= {"p1_found": p1_found, "p1_clusters": p1_clusters}
