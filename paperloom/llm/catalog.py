@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import clusters, mixture, scans, spam, split, tokens
+from paperloom.llm import clusters, mixture, names, scans, spam, split, tokens
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -88,3 +88,16 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p1_found": p1_found, "p1_clusters": p1_clusters}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of spellings of one person or organisation."""
+    return names.variant_pairs(table(spark, d, "parsed_summaries"), table(spark, d, "given_name_aliases"))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with the smallest spelling of its entity."""
+    return names.variants(table(spark, d, "parsed_summaries"), table(spark, d, "given_name_aliases"))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_entities": p5_entities}
