@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import clusters, mixture, names, scans, spam, split, tokens
+from paperloom.llm import clusters, matching, mixture, names, scans, spam, split, tokens
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -101,3 +101,16 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_entities": p5_entities}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries with their hits."""
+    return matching.matches(table(spark, d, "parsed_summaries"), table(spark, d, "search_results")).select("citation_key", "seq")
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries with their hits and the confidence of each match."""
+    return matching.matches(table(spark, d, "parsed_summaries"), table(spark, d, "search_results"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_scores": p2_scores}
