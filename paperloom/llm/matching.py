@@ -66,11 +66,11 @@ def families(authors: list[str | None] | None) -> list[list[str]]:
 
 
 def near(a: str, b: str) -> int:
-    """0 for equal words, 1 for a typing error apart (two in long words), 9 for others."""
+    """0 for equal words, 1 for one typing error apart, 3 for two in words of six letters or more, 9 for others."""
     if a == b:
         return 0
     n, m = len(a), len(b)
-    most = 2 if min(n, m) >= 8 else 1
+    most = 2 if min(n, m) >= 6 else 1
     if abs(n - m) > most or min(n, m) < 3:
         return 9
     while n and m and a[0] == b[0]:
@@ -86,7 +86,7 @@ def near(a: str, b: str) -> int:
         last, row = row, [i + 1]
         for j in range(m):
             row.append(min(last[j] + (a[i] != b[j]), last[j + 1] + 1, row[j] + 1))
-    return 1 if row[m] <= most else 9
+    return 3 if row[m] <= most else 9
 
 
 def title_score(a: tuple[list[str], int, bool], b: tuple[list[str], int, bool]) -> float:
@@ -124,6 +124,8 @@ def title_score(a: tuple[list[str], int, bool], b: tuple[list[str], int, bool])
                     best = max(best, last[j] + d * TYPO)
                 elif i + 1 < n and wa[i] + wa[i + 1] == wb[j]:
                     best = max(best, last[j] + TYPO)
+                elif j and wb[j - 1] + wb[j] == wa[i]:
+                    best = max(best, last[j - 1] + TYPO)
             row.append(best)
     return base + row[m]
 
@@ -135,7 +137,7 @@ def author_score(a: list[list[str]], b: list[list[str]]) -> float:
     left, hits = [set(x) for x in a], 0
     for name in b:
         for k, other in enumerate(left):
-            if any(near(t, u) < 9 and min(len(t), len(u)) >= 3 for t in name for u in other if len(t) > 3 or t == u):
+            if any(near(t, u) < 3 and min(len(t), len(u)) >= 3 for t in name for u in other if len(t) > 3 or t == u):
                 hits += 1
                 del left[k]
                 break
@@ -150,7 +152,7 @@ def year_score(a: int | None, b: int | None) -> float:
 
 
 def block_keys(df: DataFrame, ident: str, lone: bool) -> DataFrame:
-    """(ident, key): title runs with an author's name; without authors runs alone (for summaries both)."""
+    """(ident, key): title runs with an author's name; with fewer than two authors runs alone too (for summaries always)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +172,7 @@ def block_keys(df: DataFrame, ident: str, lone: bool) -> DataFrame:
                     for t in name:
                         if len(t) > 3:
                             found.update(f"f {end} {r}" for r in runs for end in (t[:5], t[-5:]))
-                if lone or not people:
+                if lone or len(people) < 2:
                     for part in (words, words[:main]):
                         for i in (0, 2, max(0, len(part) - LONE_RUN)):
                             if len(part[i : i + LONE_RUN]) >= min(LONE_RUN, 3):
@@ -248,7 +250,10 @@ def propagate_beliefs(pairs: DataFrame, rounds: int = 30, damping: float = 0.5,
 
 def matches(summaries: DataFrame, hits: DataFrame, least: float = 0.5) -> DataFrame:
     """(citation_key, seq, match_score) of the pairs with a marginal above ``least``."""
-    left, s_member = classes(summaries, "citation_key")
+    # a citation key holds its paper's year, which stands in for a missing one
+    in_key = F.expr("try_cast(regexp_extract(citation_key, '((?:19|20)[0-9]{2})', 1) as int)")
+    year = F.coalesce(F.nullif(F.col("year").cast("int"), F.lit(0)), in_key)
+    left, s_member = classes(summaries.withColumn("year", year), "citation_key")
     right, h_member = classes(hits, "seq")
     left, right = checkpoint(left), checkpoint(right)
     found = propagate_beliefs(scored_pairs(left, right)).filter(F.col("match_score") > least)
