@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.operators import references
+from paperloom.plans import library_queries, text_queries
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -21,8 +22,9 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(table(spark, d, "progress"), table(spark, d, "library"), table(spark, d, "artifacts"))
 
 
-def flagship(spark, d):
-    return p3_report(spark, d)
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword trends over the documents."""
+    return text_queries.keyword_trends(spark, d)
 
 
 QUERIES |= {"p3_found": p3_found, "p3_report": p3_report}
@@ -63,3 +65,7 @@ from (select ref_field, cast(date_trunc('month', t) as date) as month, count(dis
 left join (select ref_field, cast(date_trunc('month', t) as date) as month, count(distinct entry_id) as n_orphans, count(distinct norm) as n_missing_keys from orphans group by 1, 2) b
 using (ref_field, month)""",
 }
+
+for part in (library_queries, text_queries):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
