@@ -1,8 +1,8 @@
 """Matching of summaries and search hits that share no identifier, by loopy belief propagation.
 
-Candidate pairs share four words in a row of their titles together with an author's family name, or,
-where a hit has no usable authors, a run of five words or the whole title. Equal records are compared
-once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
+Candidate pairs share three words in a row of their titles, the subtitle aside, together with the
+rarer token of an author's name, or the whole title; where a record has fewer than two authors, also
+six words in a row and the year. Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
 kinds of factors: a hit belongs to one summary at most, and a summary's hits of one source crowd each
 other out a little, since a source lists a work mostly once. Messages between pairs and factors are
 exchanged through joins on the factors' keys until they no longer change; the marginals are reported.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.names import read
+from paperloom.llm.names import ORG_KINDS, read
 from paperloom.runtime import checkpoint
 
 #: Log-odds of what a pair shows; fixed parameters of the model.
@@ -35,7 +35,9 @@ YEAR_OFF = -2.5
 SAME_SOURCE = 0.7  # log-odds that a further hit of the same source costs
 HARD = 30.0
 SMALL = frozenset("a an the of in on for and to with under from".split())
-RUN, LONE_RUN = 4, 5
+RUN, LONE_RUN = 3, 6
+SHARED = 0.66  # words that titles equal up to typing errors have in common at least
+COMMON = 1000  # most frequent tokens of names, mostly given names; a fixed bound
 
 
 def title_words(title: str | None) -> tuple[list[str], int, bool]:
@@ -79,7 +81,7 @@ def near(a: str, b: str) -> int:
         a, b, n, m = a[:-1], b[:-1], n - 1, m - 1
     if max(n, m) <= 1 or (n == m == 2 and a == b[::-1]):
         return 1
-    if most < 2 or max(n, m) > 4:
+    if most < 2 or max(n, m) > 8:
         return 9
     row = list(range(m + 1))
     for i in range(n):
@@ -151,38 +153,54 @@ def year_score(a: int | None, b: int | None) -> float:
     return YEAR.get(abs(a - b), YEAR_OFF)
 
 
-def block_keys(df: DataFrame, ident: str, lone: bool) -> DataFrame:
-    """(ident, key): title runs with an author's name; with fewer than two authors runs alone too (for summaries always)."""
+def parsed(df: DataFrame) -> DataFrame:
+    """(class, words, main, cut, people, year, source): titles and authors taken apart once per record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            titles = [title_words(t) for t in b.column(1).to_pylist()]
+            people = [families(a) for a in b.column(2).to_pylist()]
+            words = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([t[0] for t in titles], words), pa.array([t[1] for t in titles], pa.int32()), pa.array([t[2] for t in titles], pa.bool_()), pa.array(people, pa.list_(words)), b.column(3), b.column(4)],
+                names=["class", "words", "main", "cut", "people", "year", "source"],
+            )
+
+    return df.select("class", "title", "authors", "year", "source").mapInArrow(run, "class bigint, words array<string>, main int, cut boolean, people array<array<string>>, year int, source string").filter(F.size("words") > 0)
+
+
+def block_keys(df: DataFrame, ident: str, common: dict[str, int], lone: bool) -> DataFrame:
+    """(ident, key): the whole title; title runs with the rarer token of an author's name; with fewer than
+    two authors (for summaries always) longer runs with the year, for summaries also the years next to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = [], []
-            for ident_, title, authors in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                words, main, cut = title_words(title)
-                if not words:
-                    continue
+            for ident_, words, main, cut, people, year in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 found = {"t " + " ".join(words)}
-                if cut:
+                if cut and len(words) > 1:
                     words = words[:-1]
-                if main < len(words):
-                    found.add("t " + " ".join(words[:main]))
-                people = families(authors)
-                runs = {" ".join(words[i : i + RUN]) for i in range(max(1, len(words) - RUN + 1))}
+                head = words[:main] if main >= RUN else words
+                if len(head) < len(words):
+                    found.add("t " + " ".join(head))
+                runs = {" ".join(head[i : i + RUN]) for i in range(max(1, len(head) - RUN + 1))}
                 for name in people:
-                    for t in name:
-                        if len(t) > 3:
-                            found.update(f"f {end} {r}" for r in runs for end in (t[:5], t[-5:]))
-                if lone or len(people) < 2:
-                    for part in (words, words[:main]):
+                    tokens = [t for t in name if len(t) > 3 and t not in ORG_KINDS]
+                    rare = min((common.get(t, 0) for t in tokens), default=0)
+                    for t in tokens:
+                        if common.get(t, 0) > rare:
+                            continue
+                        found.update(f"f {end} {r}" for r in runs for end in (t[:6], t[-6:]))
+                if year and (lone or len(people) < 2):
+                    for part in (words, head):
                         for i in (0, 2, max(0, len(part) - LONE_RUN)):
-                            if len(part[i : i + LONE_RUN]) >= min(LONE_RUN, 3):
-                                found.add("r " + " ".join(part[i : i + LONE_RUN]))
+                            if len(part[i : i + LONE_RUN]) == LONE_RUN:
+                                found.update(f"r {y} " + " ".join(part[i : i + LONE_RUN]) for y in ((year - 1, year, year + 1) if lone else (year,)))
                 ids.extend([ident_] * len(found))
                 keys.extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(keys, pa.string())], names=[ident, "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=[ident, "key"])
 
-    kind = dict(df.dtypes)[ident]
-    got = df.select(ident, "title", "authors").mapInArrow(run, f"{ident} {kind}, key string")
+    got = df.select(F.col("class").alias(ident), "words", "main", "cut", "people", "year").mapInArrow(run, f"{ident} bigint, key string")
     return got.select(ident, F.xxhash64("key").alias("key"))
 
 
@@ -191,25 +209,31 @@ def classes(df: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
     rows = df.select(ident, "title", "authors", F.col("year").cast("int").alias("year"), F.lower(F.trim("source")).alias("source")).filter(F.trim("title") != "")
     rows = rows.withColumn("class", F.xxhash64("title", F.coalesce(F.to_json(F.struct("authors")), F.lit("")), F.coalesce("year", F.lit(-1)), F.coalesce("source", F.lit(""))))
     member = rows.select("class", ident).distinct()
-    first = rows.groupBy("class").agg(F.min_by(F.struct("title", "authors", "year", "source"), F.struct(ident)).alias("r"), F.count(F.lit(1)).alias("copies")).select("class", "r.*", "copies")
+    first = rows.groupBy("class").agg(F.min_by(F.struct("title", "authors", "year", "source"), F.struct(ident)).alias("r")).select("class", "r.*")
     return first, member
 
 
 def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(s, h, source, theta): candidate pairs of content classes with their log-odds, hopeless ones left out."""
-    a, b = block_keys(left.withColumnRenamed("class", "s"), "s", True), block_keys(right.withColumnRenamed("class", "h"), "h", False)
+    tokens = left.select("people").unionByName(right.select("people")).select(F.explode(F.array_distinct(F.flatten("people"))).alias("t"))
+    common = dict(map(tuple, tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "t").limit(COMMON).collect()))
+    a, b = block_keys(left, "s", common, True), block_keys(right, "h", common, False)
     pairs = a.join(b, "key").select("s", "h").distinct()
-    x = left.select(F.col("class").alias("s"), F.struct("title", "authors", "year").alias("x"))
-    y = right.select(F.col("class").alias("h"), F.struct("title", "authors", "year").alias("y"), "source")
-    both = pairs.join(x, "s").join(y, "h").select("s", "h", "source", "x.title", "x.authors", "x.year", F.col("y.title").alias("title2"), F.col("y.authors").alias("authors2"), F.col("y.year").alias("year2"))
+    fields = ["words", "main", "cut", "people", "year"]
+    x = left.select(F.col("class").alias("s"), *fields)
+    y = right.select(F.col("class").alias("h"), *[F.col(c).alias(f"{c}2") for c in fields], "source")
+    # titles that share too few words cannot be equal up to typing errors; decided before they leave the JVM
+    shared = F.size(F.array_intersect("words", "words2"))
+    both = pairs.join(x, "s").join(y, "h").filter(shared >= SHARED * F.least(F.size("words"), F.size("words2")))
+    both = both.select("s", "h", "source", *fields, *[f"{c}2" for c in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             theta = []
-            for ta, aa, ya, tb, ab, yb in zip(*(b.column(i).to_pylist() for i in range(3, 9)), strict=True):
-                score = PRIOR + title_score(title_words(ta), title_words(tb))
+            for wa, ma, ca, pa_, ya, wb, mb, cb, pb, yb in zip(*(b.column(i).to_pylist() for i in range(3, 13)), strict=True):
+                score = PRIOR + title_score((wa, ma, ca), (wb, mb, cb))
                 if score > -6:
-                    score += author_score(families(aa), families(ab)) + year_score(ya, yb)
+                    score += author_score(pa_, pb) + year_score(ya, yb)
                 theta.append(score)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(theta, pa.float64())], names=["s", "h", "source", "theta"])
 
@@ -255,7 +279,7 @@ def matches(summaries: DataFrame, hits: DataFrame, least: float = 0.5) -> DataFr
     year = F.coalesce(F.nullif(F.col("year").cast("int"), F.lit(0)), in_key)
     left, s_member = classes(summaries.withColumn("year", year), "citation_key")
     right, h_member = classes(hits, "seq")
-    left, right = checkpoint(left), checkpoint(right)
+    left, right = checkpoint(parsed(left)), checkpoint(parsed(right))
     found = propagate_beliefs(scored_pairs(left, right)).filter(F.col("match_score") > least)
     named = found.join(s_member.withColumnRenamed("class", "s"), "s").join(h_member.withColumnRenamed("class", "h"), "h")
     return named.groupBy("citation_key", "seq").agg(F.max("match_score").alias("match_score"))
