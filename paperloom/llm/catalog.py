@@ -74,7 +74,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.found_lines(_texts(spark, d), table(spark, d, "library").select("venue"))
 
 
-QUERIES |= {"p6_found": p6_found}
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """All texts, scanned ones as continuous paragraphs."""
+    return scans.repaired(_texts(spark, d), table(spark, d, "library").select("venue"))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_text": p6_text}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
