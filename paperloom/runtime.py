@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +50,17 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_of: Colum
     return a.join(b, [*on, "_salt"], how).drop("_salt")
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+_SHIPPED: set[str] = set()
 
 
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, where their Python path does not name its folder; once per application."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    package = Path(tempfile.mkdtemp(prefix="paperloom-")) / "paperloom.zip"
+    with zipfile.ZipFile(package, "w") as z:
+        for f in sorted((root / "paperloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(package))
+    _SHIPPED.add(app)
