@@ -76,6 +76,17 @@ def edges(near: DataFrame, threshold: float = 0.7) -> DataFrame:
     return near.filter(F.col("cosine") >= threshold).select("query", "neighbour", "cosine")
 
 
+def similarity_checks(pairs: DataFrame, a: str = "a", b: str = "b", value: str = "cosine") -> DataFrame:
+    """VE16: of a long similarity table: values out of range, off the diagonal's 1 (0 for zero vectors) and unlike their mirror."""
+    mirror = pairs.select(F.col(a).alias(b), F.col(b).alias(a), F.col(value).alias("_m"))
+    both = pairs.join(mirror, [a, b], "left")
+    off = F.col(a) != F.col(b)
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col(value) < -1.000001) | (F.col(value) > 1.000001)).alias("out_of_range"), F.count_if(~off & (F.abs(F.col(value) - 1) > 1e-6) & (F.abs(F.col(value)) > 1e-6)).alias("bad_diagonal"),
+        F.count_if(F.col("_m").isNull() | (F.abs(F.col(value) - F.col("_m")) > 1e-6)).alias("asymmetric"), F.round(F.avg(F.when(off, F.col(value))), 6).alias("mean_off_diagonal"),
+    )
+
+
 def norm_statistics(vectors: DataFrame, vec: str) -> DataFrame:
     """VE8: number, dimension and norms of the vectors; the deviation is of the population."""
     n = vectors.select(F.size(vec).alias("dim"), norm(F.col(vec)).alias("norm"))
