@@ -129,7 +129,8 @@ def _survivors(group: pd.DataFrame) -> pd.DataFrame:
 
 def orphan_rows(progress: DataFrame, library: DataFrame, artifacts: DataFrame, salts: int = 16) -> DataFrame:
     """(entry_id, ref_field, month, norm) of every reference whose target is not there at ``logged_at``."""
-    refs, parents = reference_rows(progress), parent_intervals(library, artifacts)
+    # read several times below; the spelling rules cost more than writing their results once
+    refs, parents = checkpoint(reference_rows(progress)), checkpoint(parent_intervals(library, artifacts))
     used = refs.select("ref_field", "norm", "month").distinct()
     # the dictionary: codes are dense within each partition of the sorted keys; written, since they depend on the partitioning
     codes = checkpoint(
