@@ -84,3 +84,33 @@ def gathered_prompt(papers: DataFrame, instruction: str, most: int = 20) -> Data
     few = papers.orderBy("citation_key").limit(most)
     part = F.concat(F.col("title"), F.lit("\n"), F.coalesce("abstract", F.lit("")))
     return few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation_key", part.alias("p")))), lambda x: x["p"]), "\n\n---\n\n").alias("body")).select(F.concat(F.lit(instruction + "\n\n"), F.col("body")).alias("prompt"))
+
+
+def retrying(provider: Callable[[list[str]], list], attempts: int = 3, first_wait: float = 1.0, sleep: Callable[[float], None] | None = None) -> Callable[[list[str]], list]:
+    """UD11, SC33: a provider that is called again after a failure, waiting twice as long each time; the last failure is raised."""
+
+    def call(texts: list[str]) -> list:
+        import time
+
+        wait = first_wait
+        for attempt in range(1, attempts + 1):
+            try:
+                return provider(texts)
+            except Exception:  # noqa: BLE001 whatever an outside service raises
+                if attempt == attempts:
+                    raise
+                (sleep or time.sleep)(wait)
+                wait *= 2
+        return []
+
+    return call
+
+
+def model_options(name: str) -> dict:
+    """UD10: size in billions of parameters by a model's name, its class, and how much context it is given."""
+    import re
+
+    m = re.search(r"(\d+(?:\.\d+)?)\s*b\b", name.lower())
+    size = float(m[1]) if m else None
+    kind = "unknown" if size is None else "small" if size < 7 else "medium" if size < 20 else "large"
+    return {"billions": size, "class": kind, "context_tokens": {"small": 4096, "medium": 8192, "large": 16384}.get(kind, 4096)}

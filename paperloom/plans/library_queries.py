@@ -355,4 +355,5 @@ def pl4_histogram(s, d):
 
 @query("pl16_cited", "select bool_or(citation_count > 0) as any_cited from library")
 def pl16_cited(s, d):
+    """PL16, PL18."""
     return table(s, d, "library").agg(F.bool_or(F.col("citation_count") > 0).alias("any_cited"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cogrouped(a: DataFrame, b: DataFrame, key: str):
+    """Both sides grouped together by ``key``, in as many tasks as a shuffle has: what the groups cost in
+    computing does not show in their bytes, by which adaptive execution would join them to few tasks."""
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(n, key).groupBy(key).cogroup(b.repartition(n, key).groupBy(key))
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a table has at most ``max_rows`` rows; reads no more than that many and one."""
     return len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows
@@ -50,6 +60,24 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_of: Colum
     return a.join(b, [*on, "_salt"], how).drop("_salt")
 
 
+class Stages:
+    """SM12: wall times of the steps of a job, as rows for ``ordered.slow_stages``."""
+
+    def __init__(self) -> None:
+        self.times: list[tuple[str, float]] = []
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.times.append((name, time.perf_counter() - began))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.times, "stage string, seconds double")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -108,3 +108,8 @@ class Settings:
                 except ValueError:
                     continue
         return cls(**got)
+
+    def problems(self) -> list[str]:
+        """VD21: settings out of their range."""
+        out = [f"{f.name} must be positive" for f in fields(self) if getattr(self, f.name) <= 0]
+        return out + (["similarity must be at most 1"] if self.similarity > 1 else [])

@@ -1,11 +1,15 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from paperloom.__main__ import main
+from paperloom.functions import providers
 from paperloom.operators import ordered
 from paperloom.operators import vectors as vec
-from paperloom.sources import connector, payloads
+from paperloom.runtime import Stages
+from paperloom.sources import connector, files, payloads
 from paperloom.streaming import streams
-from pyspark.sql import functions as F
 
 
 def test_command(spark, data, tmp_path, capsys):
@@ -53,3 +57,25 @@ def test_ordered_rules(spark):
     one = spark.createDataFrame([(i, float(i), "g") for i in range(12)] + [(100, 5.0, "h")], "i int, v double, g string")
     got = {r.i: r.trend for r in ordered.moving_average(one, "v", ["i"], ["g"]).collect()}
     assert got == {9: 4.5, 10: 5.5, 11: 6.5, 100: 5.0}
+
+
+def test_retries_settings_and_stages(spark):
+    calls, waits = [], []
+
+    def shaky(texts):
+        calls.append(texts)
+        if len(calls) < 3:
+            raise ConnectionError("later")
+        return ["ok"] * len(texts)
+
+    assert providers.retrying(shaky, 3, 1.0, waits.append)(["a"]) == ["ok"] and waits == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        providers.retrying(lambda t: int("x"), 2, 0.0, waits.append)(["a"])
+    assert providers.model_options("llama3:8b")["class"] == "medium" and providers.model_options("tiny")["class"] == "unknown"
+    assert files.Settings().problems() == [] and files.Settings(search_limit=0, similarity=2.0).problems() == ["search_limit must be positive", "similarity must be at most 1"]
+    stages = Stages()
+    for name in "abc":
+        with stages.stage(name):
+            pass
+    stages.times.append(("slow", 100.0))
+    assert [r.stage for r in ordered.slow_stages(stages.table(spark), "stage", "seconds").collect()] == ["slow"]
