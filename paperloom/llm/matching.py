@@ -1,8 +1,8 @@
 """Matching of summaries and search hits that share no identifier, by loopy belief propagation.
 
-Candidate pairs share three words in a row of their titles, the subtitle aside, together with the
-rarer token of an author's name, or the whole title; where a record has fewer than two authors, also
-six words in a row and the year. Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
+Candidate pairs share runs of three words of their titles, the subtitle aside, together with the
+beginning or end of the rarer token of an author's name, six words in a row and nearly the year, or
+the whole title. Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
 kinds of factors: a hit belongs to one summary at most, and a summary's hits of one source crowd each
 other out a little, since a source lists a work mostly once. Messages between pairs and factors are
 exchanged through joins on the factors' keys until they no longer change; the marginals are reported.
@@ -36,6 +36,7 @@ SAME_SOURCE = 0.7  # log-odds that a further hit of the same source costs
 HARD = 30.0
 SMALL = frozenset("a an the of in on for and to with under from".split())
 RUN, LONE_RUN = 3, 6
+AGREE = 3  # keys with a name that must agree: two runs with a whole name, or three with an end of it
 SHARED = 0.66  # words that titles equal up to typing errors have in common at least
 COMMON = 1000  # most frequent tokens of names, mostly given names; a fixed bound
 
@@ -170,8 +171,8 @@ def parsed(df: DataFrame) -> DataFrame:
 
 
 def block_keys(df: DataFrame, ident: str, common: dict[str, int], lone: bool) -> DataFrame:
-    """(ident, key): the whole title; title runs with the rarer token of an author's name; with fewer than
-    two authors (for summaries always) longer runs with the year, for summaries also the years next to it."""
+    """(ident, key, weight): the whole title; longer title runs with the year, for summaries also the years
+    next to it; shorter runs with an end of the rarer token of an author's name, of which several must agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,8 +182,6 @@ def block_keys(df: DataFrame, ident: str, common: dict[str, int], lone: bool) ->
                 if cut and len(words) > 1:
                     words = words[:-1]
                 head = words[:main] if main >= RUN else words
-                if len(head) < len(words):
-                    found.add("t " + " ".join(head))
                 runs = {" ".join(head[i : i + RUN]) for i in range(max(1, len(head) - RUN + 1))}
                 for name in people:
                     tokens = [t for t in name if len(t) > 3 and t not in ORG_KINDS]
@@ -190,18 +189,18 @@ def block_keys(df: DataFrame, ident: str, common: dict[str, int], lone: bool) ->
                     for t in tokens:
                         if common.get(t, 0) > rare:
                             continue
-                        found.update(f"f {end} {r}" for r in runs for end in (t[:6], t[-6:]))
-                if year and (lone or len(people) < 2):
-                    for part in (words, head):
-                        for i in (0, 2, max(0, len(part) - LONE_RUN)):
-                            if len(part[i : i + LONE_RUN]) == LONE_RUN:
-                                found.update(f"r {y} " + " ".join(part[i : i + LONE_RUN]) for y in ((year - 1, year, year + 1) if lone else (year,)))
+                        part = -(-2 * len(t) // 3)
+                        found.update(f"f {end} {r}" for r in runs for end in (t[:part], t[-part:]))
+                if year:
+                    for some in (words, head):
+                        for i in {0, min(2, max(0, len(some) - LONE_RUN)), max(0, len(some) - LONE_RUN)}:
+                            found.update(f"r {y} " + " ".join(some[i : i + LONE_RUN]) for y in ((year - 1, year, year + 1) if lone else (year,)))
                 ids.extend([ident_] * len(found))
                 keys.extend(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=[ident, "key"])
 
     got = df.select(F.col("class").alias(ident), "words", "main", "cut", "people", "year").mapInArrow(run, f"{ident} bigint, key string")
-    return got.select(ident, F.xxhash64("key").alias("key"))
+    return got.select(ident, F.xxhash64("key").alias("key"), F.when(F.substring("key", 1, 1) == "f", 1).otherwise(AGREE).alias("weight"))
 
 
 def classes(df: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +217,7 @@ def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     tokens = left.select("people").unionByName(right.select("people")).select(F.explode(F.array_distinct(F.flatten("people"))).alias("t"))
     common = dict(map(tuple, tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "t").limit(COMMON).collect()))
     a, b = block_keys(left, "s", common, True), block_keys(right, "h", common, False)
-    pairs = a.join(b, "key").select("s", "h").distinct()
+    pairs = a.join(b.drop("weight"), "key").groupBy("s", "h").agg(F.sum("weight").alias("w")).filter(F.col("w") >= AGREE).select("s", "h")
     fields = ["words", "main", "cut", "people", "year"]
     x = left.select(F.col("class").alias("s"), *fields)
     y = right.select(F.col("class").alias("h"), *[F.col(c).alias(f"{c}2") for c in fields], "source")
