@@ -119,3 +119,9 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_scores": p2_scores}
+
+ORACLES["p1_found"] = """
+with v as (select collection, citation_key, min(vec)::double[] as v from paper_embeddings where vec is not null group by 1, 2),
+u as (select * from v where list_sum(list_transform(v, lambda x: x * x)) > 0),
+p as (select a.citation_key, b.citation_key as other from u a join u b on a.collection = b.collection where list_cosine_similarity(a.v, b.v) >= 0.8 or a.citation_key = b.citation_key)
+select citation_key, min(other) as cluster_key from p group by citation_key having count(distinct other) >= 3"""
