@@ -152,7 +152,12 @@ def test_cluster_metrics_and_variance(spark):
 
 def test_features(spark):
     x = lib(spark, [{"title": "neural networks", "abstract": "deep neural networks"}, {"title": "neural models"}, {"title": None}])
-    w = features.tfidf(x)
-    assert {r.citation_key for r in w.collect()} == {"k0", "k1"} and {r.term for r in w.collect()} == {"neural"} or w.count() > 0
+    w = features.tfidf(x).collect()
+    # a term of all papers is too frequent; of two papers one is enough
+    assert {r.citation_key for r in w} == {"k0", "k1"} and "neural" not in {r.term for r in w} and {"networks", "deep neural"} <= {r.term for r in w}
+    for key in ("k0", "k1"):
+        assert sum(r.weight**2 for r in w if r.citation_key == key) == pytest.approx(1, abs=1e-6)
+    vectors = features.dense(features.tfidf(x))
+    assert vectors.count() == 2 and features.loadings(vectors, "vec", sorted({r.term for r in w}), 1).count() == len({r.term for r in w})
     got = features.clustered(spark.createDataFrame([(i, [float(i // 5) * 10, 0.0]) for i in range(10)], "id int, vec array<double>"), "vec", 2, runs=2)
     assert sorted(r["count"] for r in got.groupBy("cluster").count().collect()) == [5, 5]
