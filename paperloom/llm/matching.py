@@ -2,7 +2,9 @@
 
 Candidate pairs share runs of three words of their titles, the subtitle aside, together with the
 beginning or end of the rarer token of an author's name, six words in a row and nearly the year, or
-the whole title. Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
+the whole title. Beside these, every pair that the score can accept is found exactly: no word of such a
+hit's title may be without counterpart, so an index of title words and their misspellings is asked for its
+rarest words. Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
 kinds of factors: a hit belongs to one summary at most, and a summary's hits of one source crowd each
 other out a little, since a source lists a work mostly once. Messages between pairs and factors are
 exchanged through joins on the factors' keys until they no longer change; the marginals are reported.
@@ -18,6 +20,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +40,7 @@ HARD = 30.0
 SMALL = frozenset("a an the of in on for and to with under from".split())
 RUN, LONE_RUN = 3, 6
 AGREE = 3  # keys with a name that must agree: two runs with a whole name, or three with an end of it
+ASKED = 4  # rarest words of a hit's title that are looked up together
 SHARED = 0.66  # words that titles equal up to typing errors have in common at least
 COMMON = 1000  # most frequent tokens of names, mostly given names; a fixed bound
 
@@ -212,28 +216,118 @@ def classes(df: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
     return first, member
 
 
+def deletions(word: str) -> set[str]:
+    """Strings that a word leaves without one letter (two from six letters on): words that are ``near`` share one."""
+    out = {word}
+    for _ in range(0 if len(word) < 3 else 1 if len(word) < 6 else 2):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+def bound_words(words: list[str], main: int, cut: bool) -> list[int]:
+    """Positions of a hit's words that an accepted pair must align, whatever part of the titles is compared."""
+    end = main or len(words)
+    if cut and len(words) > 3 and end == len(words):
+        end -= 1
+    return [j for j in range(end) if words[j] not in SMALL]
+
+
+def all_small(words: list[str], main: int) -> bool:
+    """Whether a summary's title may align with one of small words only."""
+    two = {a + b for a in SMALL for b in SMALL}
+    return all(w in SMALL or w in two or any(near(w, x) < 9 for x in SMALL) for w in words[: min(3, main or len(words))])
+
+
+def near_words(hit: DataFrame, summary: DataFrame) -> DataFrame:
+    """(hw, sw): words of hits with the summaries' words that align with them; splits of a word by their first part."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, k) for w in b.column(0).to_pylist() for k in deletions(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["w", "k"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([near(x, y) < 9 for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    keys = lambda df, name: df.mapInArrow(spread, "w string, k string").select(F.col("w").alias(name), F.xxhash64("k").alias("k"))
+    close = keys(hit.select("hw"), "hw").join(keys(summary.select("sw"), "sw"), "k").select("hw", "sw").distinct().mapInArrow(check, "hw string, sw string")
+    at = F.explode(F.expr("sequence(1, length(hw) - 1)"))
+    parts = hit.filter(F.length("hw") > 1).select("hw", at.alias("i")).select("hw", F.expr("substring(hw, 1, i)").alias("sw"), F.expr("substring(hw, i + 1)").alias("rest"))
+    split = parts.join(summary.select("sw"), "sw").join(summary.select(F.col("sw").alias("rest")), "rest").select("hw", "sw")
+    return close.unionByName(split).distinct()
+
+
+def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(s, h): all pairs whose log-odds can exceed 0, and others.
+
+    A word of more weight than SMALL without counterpart costs what authors and year can give at most, so each
+    bound word of the hit has one among the summary's words: an equal or misspelt one, one it was joined from
+    or is part of. The ASKED with the fewest summaries behind them are looked up together."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for h, words, main, cut in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                places = bound_words(words, main, cut)
+                rows += [(h, j, words[j], [words[j - 1] + words[j]] * (j > 0) + [words[j] + x for x in words[j + 1 : j + 2]]) for j in places] or [(h, -1, None, [])]
+            cols = [[r[i] for r in rows] for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))], names=["h", "j", "hw", "joined"])
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([all_small(w, m) for w, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_())).select([0])
+
+    def keyed(keys_of, ident: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(i, k) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in keys_of(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=[ident, "key"])
+
+        return run
+
+    places = checkpoint(right.select("class", "words", "main", "cut").mapInArrow(bound, "h bigint, j int, hw string, joined array<string>"))
+    vocabulary = checkpoint(left.select(F.explode(F.array_distinct("words")).alias("sw")).groupBy("sw").agg(F.count(F.lit(1)).alias("n")))
+    near_ = near_words(places.filter("j >= 0").select("hw").distinct(), vocabulary)
+    variants = places.select("h", "j", "hw").join(near_, "hw").select("h", "j", "sw")
+    variants = variants.unionByName(places.select("h", "j", F.explode("joined").alias("sw"))).distinct().join(vocabulary, "sw")
+    found = places.filter("j >= 0").select("h", "j").join(variants.groupBy("h", "j").agg(F.sum("n").alias("n"), F.collect_set("sw").alias("sw")), ["h", "j"], "left")
+    row = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", F.coalesce("sw", F.array().cast("array<string>")).alias("sw"))
+    top = checkpoint(found.groupBy("h").agg(F.slice(F.array_sort(F.collect_list(row)), 1, ASKED)["sw"].alias("words")))
+    asked = top.mapInArrow(keyed(lambda places: {" ".join(sorted(set(x))) for x in product(*places)}, "h"), "h bigint, key string")
+    # words that no hit asks for need no keys
+    used = top.select(F.explode(F.flatten("words")).alias("sw")).distinct()
+    words = left.select(F.col("class").alias("s"), F.explode(F.array_distinct("words")).alias("sw")).join(used, "sw").groupBy("s").agg(F.array_sort(F.collect_list("sw")).alias("words"))
+    given = words.mapInArrow(keyed(lambda w: {" ".join(x) for k in range(1, ASKED + 1) for x in combinations(w, k)}, "s"), "s bigint, key string")
+    hashed = lambda df, ident: df.select(ident, F.xxhash64("key").alias("key"))
+    rest = left.select("class", "words", "main").mapInArrow(small, "class bigint").select(F.col("class").alias("s"), F.lit(1).alias("_x"))
+    odd = places.filter("j < 0").select("h", F.lit(1).alias("_x")).join(rest, "_x").select("s", "h")
+    return hashed(asked, "h").join(hashed(given, "s"), "key").select("s", "h").unionByName(odd).distinct()
+
+
 def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(s, h, source, theta): candidate pairs of content classes with their log-odds, hopeless ones left out."""
     tokens = left.select("people").unionByName(right.select("people")).select(F.explode(F.array_distinct(F.flatten("people"))).alias("t"))
     common = dict(map(tuple, tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "t").limit(COMMON).collect()))
     a, b = block_keys(left, "s", common, True), block_keys(right, "h", common, False)
-    pairs = a.join(b.drop("weight"), "key").groupBy("s", "h").agg(F.sum("weight").alias("w")).filter(F.col("w") >= AGREE).select("s", "h")
+    pairs = a.join(b.drop("weight"), "key").groupBy("s", "h").agg(F.sum("weight").alias("w")).filter(F.col("w") >= AGREE).select("s", "h", F.lit(False).alias("whole"))
+    # the exact pairs are not held to the share of equal words
+    pairs = pairs.unionByName(word_pairs(left, right).withColumn("whole", F.lit(True))).groupBy("s", "h").agg(F.max("whole").alias("whole"))
     fields = ["words", "main", "cut", "people", "year"]
     x = left.select(F.col("class").alias("s"), *fields)
     y = right.select(F.col("class").alias("h"), *[F.col(c).alias(f"{c}2") for c in fields], "source")
-    # titles that share too few words cannot be equal up to typing errors; decided before they leave the JVM
+    # other titles that share too few words are hopeless; decided before they leave the JVM
     shared = F.size(F.array_intersect("words", "words2"))
-    both = pairs.join(x, "s").join(y, "h").filter(shared >= SHARED * F.least(F.size("words"), F.size("words2")))
+    both = pairs.join(x, "s").join(y, "h").filter(F.col("whole") | (shared >= SHARED * F.least(F.size("words"), F.size("words2"))))
     both = both.select("s", "h", "source", *fields, *[f"{c}2" for c in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             theta = []
             for wa, ma, ca, pa_, ya, wb, mb, cb, pb, yb in zip(*(b.column(i).to_pylist() for i in range(3, 13)), strict=True):
-                score = PRIOR + title_score((wa, ma, ca), (wb, mb, cb))
-                if score > -6:
-                    score += author_score(pa_, pb) + year_score(ya, yb)
-                theta.append(score)
+                score = PRIOR + author_score(pa_, pb) + year_score(ya, yb)
+                # the best title cannot make up for other authors
+                theta.append(score + title_score((wa, ma, ca), (wb, mb, cb)) if score + TITLE_SAME > -5 else score)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(theta, pa.float64())], names=["s", "h", "source", "theta"])
 
     return both.mapInArrow(run, "s bigint, h bigint, source string, theta double").filter("theta > -5")

@@ -120,6 +120,26 @@ def test_matching(spark):
     assert M.matches(spark.createDataFrame([], S), spark.createDataFrame([], H)).count() == 0
 
 
+def test_every_acceptable_pair_is_scored(spark):
+    rng = random.Random(5)
+    pool = "deep sparse neural models networks learning systems environments simulated clinical ensembles adaptive graph in of the with within data base database".split()
+
+    def typo(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "q" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]])
+
+    titles = [" ".join(rng.sample(pool, rng.randint(2, 8))) + rng.choice(["", ": a long view"]) for _ in range(60)]
+    changed = [" ".join(typo(w) if rng.random() < 0.5 else w for w in t.split()) + rng.choice(["", "", "..."]) for t in titles] + [t.split(":")[0] for t in titles]
+    people = [["Ann Kowalski"], ["Bo Lindqvist", "Ann Weiss"], [], ["Kowalsky, A."]]
+    s = [(f"k{i}", t, rng.choice(people), rng.choice([None, 2020]), "x", "") for i, t in enumerate([*titles, "Deep ensembles in simulated environments"])]
+    h = [(i, t, rng.choice(people), rng.choice([None, 2021]), "y", None, "") for i, t in enumerate([*changed, "of the", "Deep ensembles in simluated environments"])]
+    left, right = (M.parsed(M.classes(spark.createDataFrame(rows, kind), key)[0]) for rows, kind, key in ((s, S, "citation_key"), (h, H, "seq")))
+    found = {(r.s, r.h) for r in M.scored_pairs(left, right).filter("theta > 0").collect()}
+    theta = lambda x, y: M.PRIOR + M.title_score((x.words, x.main, x.cut), (y.words, y.main, y.cut)) + M.author_score(x.people, y.people) + M.year_score(x.year, y.year)
+    want = {(x["class"], y["class"]) for x in left.collect() for y in right.collect() if theta(x, y) > 0}
+    assert found == want and len(want) > 50
+
+
 def test_beliefs_share_a_hit(spark):
     pairs = spark.createDataFrame([(1, 10, "x", 2.0), (2, 10, "x", 2.0), (3, 11, "x", 2.0), (4, 12, None, 9.0), (5, 12, None, -1.0)], "s bigint, h bigint, source string, theta double")
     got = {(r.s, r.h): r.match_score for r in M.propagate_beliefs(pairs).collect()}
