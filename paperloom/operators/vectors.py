@@ -71,6 +71,54 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int =
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """Vectors of one batch at length 1; zero vectors stay."""
+    v = np.array(column.to_pylist(), np.float64)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(n == 0, 1, n)
+
+
+def query_blocks(queries: DataFrame, key: str, vec: str) -> Iterator[tuple[list, np.ndarray]]:
+    """(keys, vectors) of a stated set of queries, in blocks of a fixed size."""
+    rows = []
+    for r in queries.select(key, vec).toLocalIterator():
+        rows.append(r)
+        if len(rows) == BLOCK:
+            yield [x[0] for x in rows], np.array([x[1] for x in rows], np.float64)
+            rows = []
+    if rows:
+        yield [x[0] for x in rows], np.array([x[1] for x in rows], np.float64)
+
+
+def links(vectors: DataFrame, queries: DataFrame, key: str, vec: str, threshold: float = 0.7) -> DataFrame:
+    """JN17, JN19: all rows at or above the threshold for each of a stated set of queries, however many.
+
+    Equal vectors are compared once and named by their members at the end; nothing else is left out."""
+    kind = dict(vectors.dtypes)[key]
+    rows = vectors.select(key, vec, F.xxhash64(F.to_json(F.struct(vec))).alias("_class"))
+    first = rows.groupBy("_class").agg(F.min_by(vec, key).alias(vec))
+    asked = queries.select(key, vec, F.xxhash64(F.to_json(F.struct(vec))).alias("_class"))
+    out = None
+    for keys, matrix in query_blocks(asked.groupBy("_class").agg(F.min_by(vec, key).alias(vec)), "_class", vec):
+        size = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = matrix / np.where(size == 0, 1, size)
+
+        def run(batches: Iterator[pa.RecordBatch], keys=np.array(keys), matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    ids = np.array(b.column(0).to_pylist())
+                    sims = np.round(matrix @ unit_rows(b.column(1)).T, 9)
+                    i, j = np.nonzero(sims >= threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(sims[i, j], pa.float64())], names=["_q", "_class", "cosine"])
+
+        part = first.select("_class", vec).mapInArrow(run, "_q bigint, _class bigint, cosine double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, cosine double")
+    named = out.join(asked.select(F.col("_class").alias("_q"), F.col(key).alias("query")), "_q").join(rows.select("_class", F.col(key).alias("neighbour")), "_class")
+    return named.filter("query <> neighbour").select("query", "neighbour", "cosine")
+
+
 def edges(near: DataFrame, threshold: float = 0.7) -> DataFrame:
     """JN19: links of the stated queries at or above the threshold."""
     return near.filter(F.col("cosine") >= threshold).select("query", "neighbour", "cosine")

@@ -161,3 +161,13 @@ def test_features(spark):
     assert vectors.count() == 2 and features.loadings(vectors, "vec", sorted({r.term for r in w}), 1).count() == len({r.term for r in w})
     got = features.clustered(spark.createDataFrame([(i, [float(i // 5) * 10, 0.0]) for i in range(10)], "id int, vec array<double>"), "vec", 2, runs=2)
     assert sorted(r["count"] for r in got.groupBy("cluster").count().collect()) == [5, 5]
+
+
+def test_links_are_not_capped(spark, tmp_path):
+    from paperloom.plans import catalog
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.array([1.0, 0.2, 0.0]) + rng.normal(size=3) * 0.05]) for i in range(120)] + [(i, [1.0, 0.0, 0.0]) for i in range(120, 160)] + [(160, [-1.0, 0.0, 0.0]), (161, [0.0, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.query, r.neighbour) for r in catalog.QUERIES["jn19_links"](spark, str(tmp_path)).collect()}
+    assert got == {(q, n) for q in (0, 50, 100, 150) for n in range(160) if q != n}
