@@ -207,6 +207,12 @@ def ve1_tfidf(s, d):
     return features.tfidf(table(s, d, "library")).withColumn("weight", F.round("weight", 6))
 
 
+@query("st27_texts")
+def st27_texts(s, d):
+    """ST27 on the whole text of all documents, by Python's rules for blanks, digits and case."""
+    return per_row(table(s, d, "documents"), ["doc_id"], ["text"], lambda t: (rep.comparable(t) if isinstance(t, str) else None,), "comparable string")
+
+
 @query("ve4_clusters")
 def ve4_clusters(s, d):
     """VE4, PL11: sizes of five k-means clusters of the vectors."""

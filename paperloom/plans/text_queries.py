@@ -133,7 +133,7 @@ def st26_tokens(s, d):
 
 @query("st27_comparable", "select doc_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(left(text, 400), ' ')), '\\s+', ' ', 'g'), '[#*_`\\[\\]()]', '', 'g'), '\\d+', 'N', 'g') as comparable from documents where doc_type = 'summary' and not regexp_matches(text, '[^\\x{20}-\\x{7E}\\n]')")
 def st27_comparable(s, d):
-    """ST27 on plain texts; the first 400 characters are the key the repetition operators compare by."""
+    """ST27 on plain texts, as far as SQL agrees (``st27_texts`` has all); the first 400 characters are the key the repetition operators compare by."""
     plain = table(s, d, "documents").filter("doc_type = 'summary'").filter(~F.col("text").rlike("[^\\x20-\\x7E\\n]"))
     return plain.select("doc_id", tx.comparable(F.left("text", F.lit(400))).alias("comparable"))
 

@@ -112,3 +112,10 @@ def test_column_names_with_clashes(spark):
     df = spark.createDataFrame([("a", "t", 1, 2, 3)], "venue string, value string, n int, rank int, keyword int")
     assert meta.counts_of(df, "venue").collect()[0].n == 1
     assert meta.keyword_rows(df.withColumn("title", F.lit("neural")).withColumn("abstract", F.lit(None).cast("string")).withColumn("year", F.lit(2020))).collect()[0].keyword == "neural"
+
+
+def test_comparable_of_all_documents(spark, tmp_path):
+    rows = [(1, "summary", "\n# Ünï\u00a0\u2003 \u0664\u0662 x"), (2, "web_page", "a\t[b] 12\r\n" + "y" * 500), (3, "summary", None)]
+    spark.createDataFrame(rows, "doc_id bigint, doc_type string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.comparable for r in catalog.QUERIES["st27_texts"](spark, str(tmp_path)).collect()}
+    assert got == {1: " ünï N x", 2: "a b N " + "y" * 500, 3: None}
