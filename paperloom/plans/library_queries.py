@@ -311,13 +311,23 @@ def jn12_missing_vectors(s, d):
 @query("jn16_related", f"""with a as (select citation_key as paper, unnest({KW.format(c='title')}) as k from library where year = 2024), b as (select citation_key, unnest({KW.format(c='abstract')}) as k from library),
 c as (select paper, citation_key, count(*) as shared from a join b using (k) where paper <> citation_key group by 1, 2) select paper, citation_key, shared, round(shared * 0.1, 6) as score, rank from (select *, row_number() over (partition by paper order by shared desc, citation_key) as rank from c) where rank <= 5""")
 def jn16_related(s, d):
-    """JN16: the papers of one year against the whole library."""
+    """JN16: the papers of one year against the whole library; ``jn16_all`` has all papers."""
     from paperloom.functions.text import keywords
 
     lib = table(s, d, "library")
     return inv.related_papers(lib, lib.filter("year = 2024").select("citation_key", keywords(F.col("title")).alias("keywords")))
 
 
+@query("jn16_all", f"""with a as (select citation_key as paper, unnest({KW.format(c='title')}) as k from library), b as (select citation_key, unnest({KW.format(c='abstract')}) as k from library),
+c as (select paper, citation_key, count(*) as shared from a join b using (k) where paper <> citation_key group by 1, 2) select paper, citation_key, shared, round(shared * 0.1, 6) as score, rank from (select *, row_number() over (partition by paper order by shared desc, citation_key) as rank from c) where rank <= 5""")
+def jn16_all(s, d):
+    """JN16: every paper against the whole library."""
+    from paperloom.functions.text import keywords
+
+    lib = table(s, d, "library")
+    return inv.related_papers(lib, lib.select("citation_key", keywords(F.col("title")).alias("keywords")))
+
+
 @query("sr1_relevance", """select seq, round(coalesce(least(1.0, citation_count / 100.0) * 0.4, 0) + case when coalesce(year, 0) = 0 then 0 when 2025 - year <= 10 then (1.0 - (2025 - year) / 10.0) * 0.3 when 2025 - year <= 20 then 0.1 else 0 end
 + case when source = 'semanticscholar' then 0.15 when source in ('arxiv', 'pubmed', 'crossref') then 0.1 else 0.05 end * 0.1 + (case when doi <> '' then 0.2 else 0 end + case when length(abstract) > 100 then 0.3 else 0 end + case when venue <> '' then 0.2 else 0 end + case when pdf_url <> '' then 0.3 else 0 end) * 0.2, 6)::double as score from search_results""")
 def sr1_relevance(s, d):

@@ -22,6 +22,7 @@ from paperloom.streaming import streams
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+MAX_YEARS = 5000  # columns of a table by years
 
 
 def query(name: str, sql: str | None = None):
@@ -259,12 +260,22 @@ def sk1_json(s, d):
 
 @query("sk6_matrix", "select source, " + ", ".join(f"count(*) filter (year = {y}) as \"{y}\"" for y in range(2015, 2025)) + " from library group by source")
 def sk6_matrix(s, d):
-    """SK6, SK11, SK19, AG40: papers per source and year as a wide table of stated years."""
+    """SK6, SK11, SK19, AG40: papers per source and year as a wide table of stated years; ``sk6_all`` has all years."""
     years = list(range(2015, 2025))
     long = table(s, d, "library").groupBy("source", "year").agg(F.count(F.lit(1)).alias("n"))
     return sinks.matrix(long, "source", "year", "n", years)
 
 
+@query("sk6_all")
+def sk6_all(s, d):
+    """SK6, SK11, SK19, AG40: papers per source and year with all years of the data, at most MAX_YEARS; 'none' where there is none."""
+    long = table(s, d, "library").groupBy("source", F.coalesce(F.col("year").cast("string"), F.lit("none")).alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    years = [r[0] for r in long.select("year").distinct().limit(MAX_YEARS + 1).collect()]
+    if len(years) > MAX_YEARS:
+        raise ValueError(f"more than {MAX_YEARS} different years")
+    return sinks.matrix(long, "source", "year", "n", sorted(years))
+
+
 @query("op6_cleanup", "select 'entry' as what, citation_key, null::varchar as path from library where citation_key not in (select citation_key from artifacts where kind = 'pdf' and deleted_at is null) union all select distinct kind, citation_key, path from artifacts where deleted_at is null and citation_key not in (select citation_key from library)")
 def op6_cleanup(s, d):
     """OP6, OP10: what a clean-up would remove."""

@@ -119,3 +119,14 @@ def test_comparable_of_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, doc_type string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.comparable for r in catalog.QUERIES["st27_texts"](spark, str(tmp_path)).collect()}
     assert got == {1: " ünï N x", 2: "a b N " + "y" * 500, 3: None}
+
+
+def test_all_papers_and_years(spark, data):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view library as select * from read_parquet('{data}/library.parquet')")
+    for name in ("jn16_related", "jn16_all"):
+        got = sorted(map(tuple, catalog.QUERIES[name](spark, data).select("paper", "citation_key", "shared", "score", "rank").collect()))
+        assert got == sorted((*r[:3], float(r[3]), r[4]) for r in con.execute(catalog.ORACLES[name]).fetchall()), name
+    wide = catalog.QUERIES["sk6_all"](spark, data).collect()
+    assert sum(sum(v for k, v in r.asDict().items() if k != "source") for r in wide) == con.execute("select count(*) from library").fetchone()[0]
