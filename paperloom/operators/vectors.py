@@ -135,6 +135,37 @@ def similarity_checks(pairs: DataFrame, a: str = "a", b: str = "b", value: str =
     )
 
 
+def matrix_checks(vectors: DataFrame, key: str, vec: str) -> DataFrame:
+    """VE16 of the similarities of all rows with all rows, made and checked in blocks and never kept.
+
+    Vectors of another dimension than most, or with nulls, are counted as damaged and are in no pair; the
+    mean is that of finite values."""
+    usual = vectors.filter(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()
+    good = F.coalesce((F.size(vec) == (usual[0][0] if usual else 0)) & ~F.exists(vec, lambda x: x.isNull()), F.lit(False))
+    names = ["n", "not_finite", "out_of_range", "bad_diagonal", "asymmetric", "n_off", "off"]
+    schema = ", ".join(f"{c} {'double' if c == 'off' else 'bigint'}" for c in names)
+    out = vectors.sparkSession.createDataFrame([], schema)
+    rows = vectors.filter(good).select(F.monotonically_increasing_id().alias("_i"), key, vec)
+    for keys, block in query_blocks(rows, key, vec):
+        size = np.linalg.norm(block, axis=1, keepdims=True)
+        unit = block / np.where(size == 0, 1, size)
+
+        def run(batches: Iterator[pa.RecordBatch], keys=np.array(keys), unit=unit) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own, v = np.array(b.column(0).to_pylist()), unit_rows(b.column(1))
+                sims, mirror = unit @ v.T, (v @ unit.T).T
+                same, finite = keys[:, None] == own[None, :], np.isfinite(sims)
+                aim = np.where((np.abs(v).max(1) == 0)[None, :], 0.0, 1.0)
+                got = [sims.size, (~finite).sum(), (~(np.abs(sims) <= 1.000001)).sum(), (same & ~(np.abs(sims - aim) <= 1e-6)).sum(), (~(np.abs(sims - mirror) <= 1e-6)).sum(), (finite & ~same).sum()]
+                yield pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in got), pa.array([float(sims[finite & ~same].sum())], pa.float64())], names=names)
+
+        out = out.unionByName(rows.select(key, vec).mapInArrow(run, schema))
+    total = out.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return total.join(vectors.agg(F.count_if(~good).alias("damaged")), F.lit(True)).select(*names[:5], "damaged", F.round(F.col("off") / F.nullif("n_off", F.lit(0)), 6).alias("mean_off_diagonal"))
+
+
 def norm_statistics(vectors: DataFrame, vec: str) -> DataFrame:
     """VE8: number, dimension and norms of the vectors; the deviation is of the population."""
     n = vectors.select(F.size(vec).alias("dim"), norm(F.col(vec)).alias("norm"))

@@ -360,12 +360,18 @@ def ve9_similarity(s, d):
 
 @query("ve16_checks", f"select count(*) as n, 0::bigint as out_of_range, 0::bigint as bad_diagonal, 0::bigint as asymmetric, round(avg(list_cosine_similarity(q.v, e.v)) filter (q.vec_id <> e.vec_id), 6) as mean_off_diagonal from (select * from {EMB} where vec_id % 50 = 0) q, (select * from {EMB} where vec_id % 50 = 0) e")
 def ve16_checks(s, d):
-    """VE16: the similarity table of the stated queries among themselves."""
+    """VE16: the similarity table of the stated queries among themselves; ``ve16_all`` has all rows."""
     q = table(s, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
     pairs = q.join(q.select(F.col("a").alias("b"), F.col("va").alias("vb")), F.lit(True)).select("a", "b", vec.cosine(F.col("va"), F.col("vb")).alias("cosine"))
     return vec.similarity_checks(pairs)
 
 
+@query("ve16_all")
+def ve16_all(s, d):
+    """VE16: the similarity table of all vectors."""
+    return vec.matrix_checks(table(s, d, "embeddings"), "vec_id", "embedding")
+
+
 @query("ve10_metrics")
 def ve10_metrics(s, d):
     """VE10, PL14: quality of the given labels as clusters."""

@@ -171,3 +171,13 @@ def test_links_are_not_capped(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {(r.query, r.neighbour) for r in catalog.QUERIES["jn19_links"](spark, str(tmp_path)).collect()}
     assert got == {(q, n) for q in (0, 50, 100, 150) for n in range(160) if q != n}
+
+
+def test_checks_read_all_vectors(spark, tmp_path):
+    from paperloom.plans import catalog
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, None), (6, [1.0, None])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    r = catalog.QUERIES["ve16_all"](spark, str(tmp_path)).collect()[0]
+    assert (r.n, r.not_finite, r.out_of_range, r.bad_diagonal, r.asymmetric, r.damaged) == (16, 7, 7, 1, 7, 3)
+    assert r.mean_off_diagonal == pytest.approx(2 * 0.5**0.5 / 6, abs=1e-6)
