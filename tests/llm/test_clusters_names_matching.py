@@ -36,18 +36,35 @@ def brute(rows):
 
 
 @pytest.mark.parametrize(("seed", "part"), [(1, 500_000), (2, 40)])
-def test_clusters_against_brute_force(spark, seed, part, monkeypatch):
-    monkeypatch.setattr(C, "PART", part)
+def test_clusters_against_brute_force(spark, seed, part):
     found = groups(seed, [60, 1, 2, 3, 4, 10, 1, 1, 25])
     random.Random(seed).shuffle(found)
     rows = [("c1" if i % 7 else "c2", f"k{i:03d}", v, False) for i, (_, v) in enumerate(found)]
     df = spark.createDataFrame(rows + rows[:5] + [("c1", "z1", None, True), ("c1", "z2", [0.0] * 16, True), ("c1", "z3", [float("nan")] * 16, False), ("c1", "z4", [1.0] * 3, False), ("c1", None, [1.0] * 16, False)], "collection string, citation_key string, vec array<float>, skipped boolean")
-    links = C.links
-    monkeypatch.setattr(C, "links", lambda *a, **k: links(*a, **k | {"part": part}))
-    got = {r.citation_key: r.cluster_key for r in C.members(df).collect()}
+    got = {r.citation_key: r.cluster_key for r in C.members(df, part=part).collect()}
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("cosine", [0.805, 0.83, 0.87])
+def test_recall_of_random_pairs(spark, cosine):
+    """Pairs of random directions at the cosine, without a third paper to link them."""
+    rng = np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 800, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine * cosine) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [("c", f"{side}{i:04d}", [float(x) for x in v]) for side, m in (("a", a), ("b", b)) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "collection string, citation_key string, vec array<float>")
+    got = {(r.citation_key, r.cluster_key) for r in C.members(df, min_size=2).filter("citation_key <> cluster_key").collect()}
+    assert got <= {(f"b{i:04d}", f"a{i:04d}") for i in range(800)} and len(got) >= 0.95 * 800
+
+
+def test_doubtful_links_are_checked_on_full_vectors(spark):
+    rows = [(f"c{k}", name, v) for k, c in enumerate((0.80001, 0.79999)) for name, v in (("a", [1.0, 0.0, 0.0, 0.0]), ("b", [c, (1 - c * c) ** 0.5, 0.0, 0.0]))]
+    df = spark.createDataFrame(rows, "collection string, citation_key string, vec array<double>")
+    assert sorted(r.collection for r in C.members(df, min_size=2, miss=1e-6).collect()) == ["c0", "c0"]
+
+
 def test_clusters_described_and_empty(spark):
     rows = [("c", f"k{i}", v) for i, (_, v) in enumerate(groups(3, [8, 5]))]
     df = spark.createDataFrame(rows, "collection string, citation_key string, vec array<float>")
@@ -56,8 +73,14 @@ def test_clusters_described_and_empty(spark):
     assert C.members(df.limit(0)).count() == 0
 
 
-def test_grid_shape():
-    assert C.grid_shape(0) [0] == 4 and all(C.grid_shape(n)[0] <= 24 for n in (1, 10**3, 10**6, 10**12))
+@pytest.mark.parametrize(("rows", "copies"), [(0, 8), (40_000, 8), (600_000, 8), (10**8, 24), (10**12, 80)])
+def test_copies_of_a_vector_are_constant(rows, copies):
+    named, of, grids = C.grid_shape(rows, 64)
+    assert grids * C.math.comb(of, named) <= copies and C.meeting_chance(64, 0.8, named, of) > 0.55
+
+
+def test_small_dimensions():
+    assert C.grid_shape(10, 1) == (1, 1, 1) and C.grid_shape(10**9, 2)[1] == 2
 
 
 def damerau1(a, b):
