@@ -39,20 +39,49 @@ def test_empty(spark):
 PROSE = "The model was tested with people who were in the room, and it is not clear whether they had seen the other one before. "
 
 
-def test_listed_share():
-    keywords = "deep learning, free energy, " * 30
-    links = "\n".join(f"* https://x.example/a-{i}" for i in range(30))
-    assert S.listed_share(keywords) > 0.9 and S.listed_share(links) > 0.9 and S.listed_share("#Tag " * 50) > 0.7
-    assert S.listed_share(PROSE * 5) < 0.05 and S.listed_share(PROSE * 8 + "\nKeywords: a b, c d, e f") < 0.3
-    assert S.listed_share("") == 0 and S.listed_share("   \n") == 0 and S.listed_share("9" * 500) < 0.5
-    assert S.listed_share(PROSE + "\n" + keywords) > 0.5 and S.listed_share(PROSE * 12 + "\n" + "a b, " * 20) < 0.5
-    assert S.listed_share("word " * 20000) > 0.5
+LISTS = {
+    "keywords": "deep learning, free energy, " * 30, "links": "\n".join(f"* https://x.example/a-{i}" for i in range(30)), "tags": "#Tag " * 50, "short": "deep learning free energy message passing world models gait analysis sleep staging " * 2,
+    "phrases": "the free energy of the brain pdf, " * 60, "anchors": '<a href="x.example/z">energy</a> ' * 60,
+}
+
+
+@pytest.mark.parametrize("kind", LISTS)
+def test_lists_are_told_from_prose(spark, kind):
+    docs = [(i, PROSE[:60 + i] + PROSE * (1 + i % 5)) for i in range(60)] + [(100, LISTS[kind]), (101, PROSE * 8 + "\nKeywords: a b, c d, e f"), (102, PROSE + "word " * 3), (103, "9" * 500), (104, "one word")]
+    got = S.spam_pages(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r.doc_id for r in got.collect()} == {100}
+
+
+def test_very_long_page(spark):
+    docs = [(i, PROSE * (1 + i % 5)) for i in range(20)] + [(100, "word " * 200_000), (101, PROSE * 2000)]
+    assert [r.doc_id for r in S.spam_pages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()] == [100]
+
+
+def test_divergence_is_the_likelihood_ratio(spark):
+    """Scarcity and concentration of a page against sums over its words."""
+    import math
+    from collections import Counter
+
+    docs = [(i, PROSE * (1 + i % 3)) for i in range(9)] + [(50, "the brain the world of it brain net " * 4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in S.scored(S.curves(df)).collect()}
+    listed = set(S.FUNCTION_WORDS["en"])
+    counts = {i: Counter(t.lower().replace(",", " ").replace(".", " ").split()) for i, t in docs}
+    q = {w: sum(c[w] / sum(c.values()) for c in counts.values()) / len(counts) for w in listed}
+    for i, c in counts.items():
+        n = sum(c.values())
+        f = sum(c[w] for w in listed)
+        rest = 1 - f / n
+        d = sum(c[w] / n * math.log(c[w] / n / q[w]) for w in listed if c[w]) + rest * math.log(rest / (1 - sum(q.values())))
+        assert got[i].concentration == pytest.approx(math.sqrt(2 * n * max(d, 0)), abs=1e-6)
+        b = rest * math.log(rest / (1 - sum(q.values()))) + f / n * math.log(f / n / sum(q.values())) if rest > 1 - sum(q.values()) else 0
+        assert got[i].scarcity == pytest.approx(math.sqrt(2 * n * max(b, 0)), abs=1e-6)
 
 
 def test_pages(spark):
     docs = [(i, PROSE * (1 + i % 5), "en") for i in range(60)] + [(100, "deep learning, free energy, " * 30, "en"), (101, "deep learning, free energy, " * 30, None), (102, None, "en"), (103, "", "en"), (104, " \n ", "en"), (100, "deep learning, free energy, " * 30, "en")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").withColumnRenamed("lang", "slope")
-    assert {r.doc_id for r in S.spam_pages(df).collect()} == {100, 101}
+    assert sorted(r.doc_id for r in S.spam_pages(df).collect()) == [100, 101]
     assert S.spam_pages(df.limit(0)).count() == 0
 
 
