@@ -7,7 +7,8 @@ characters into tries, and an automaton that allows one misreading (a character
 for two or two for one, one too many or too few) is intersected with each trie, so that every
 candidate within that distance is found. Which misreadings are believed is learned from all texts:
 the edits that turn many different unknown words into far more frequent known ones. Candidates are
-ranked by the misreading's frequency and by how often the word occurs, and follows its neighbour.
+ranked by the misreading's frequency, by how often the word occurs, and where several remain, by how
+often each follows the word before it in all texts.
 Blanks inside words are found as neighbours of which one is unknown and whose joined form is known.
 
 ``found_lines`` reports the damaged lines; ``repaired`` gives the texts without the damage.
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.runtime import checkpoint, cogrouped
+from paperloom.runtime import checkpoint, cogrouped, small_enough
 
 KEY = ["item_table", "citation_key"]
 FREQUENT = 4096  # words every worker knows; a fixed bound, the rest is joined
 KNOWN = 2  # times a word occurs in texts that are not scanned
-MAX_HEADERS = 100_000  # names of venues that may be given to every worker
+MAX_HEADERS = 100_000  # names of venues that may be given to every worker; more are joined
+MAX_RIVALS = 200_000  # words that rival for a form that may be given to every worker; for more all neighbours are counted
 
 _WORD = re.compile(r"[^\W_]+(?:[!(][^\W\d_]+)*")
 _BROKEN = re.compile(r"([^\W\d_]+)[-¬­‐‑]\s*$")
@@ -64,11 +66,13 @@ def furniture(lines: list[str], headers: frozenset[str]) -> set[int]:
     out = set()
     text = [i for i, line in enumerate(lines) if line.strip()]
     longest = max(map(len, headers), default=0) + 12
+    # furniture fits on a line as the text has them
+    widest = max(160, 2 * sorted(len(lines[i]) for i in text)[len(text) // 2]) if text else 0
     for k, i in enumerate(text):
         line = lines[i]
         bare = line.lstrip()
         # lines of running text, which are most, are told by their first letter
-        if len(line) > 160 or (bare[0].islower() and not (bare.startswith(("p.", "doi:")) or "/" in bare or "running title" in bare)):
+        if len(line) > widest or (bare[0].islower() and not (bare.startswith(("p.", "doi:")) or "/" in bare or "running title" in bare)):
             continue
         if ((_DIGIT.search(bare) or "running title" in bare) and _FORMS.match(line)) or (len(bare) <= longest and fold(line) in headers):
             out.add(i)
@@ -102,8 +106,6 @@ def is_scan(skip: set[int], breaks: list) -> bool:
 
 def _look(text: str, headers: frozenset[str]) -> tuple[list[str], set[int], list, bool]:
     lines = text.split("\n")
-    if len(lines) < 3:
-        return lines, set(), [], False
     skip = furniture(lines, headers)
     breaks = broken(lines, skip)
     return lines, skip, breaks, is_scan(skip, breaks)
@@ -120,14 +122,21 @@ def scan_words(lines: list[str], skip: set[int], breaks: list) -> Iterator[str]:
             yield from words[1:] if i in tails else words
 
 
-def word_counts(texts: DataFrame, headers: frozenset[str]) -> DataFrame:
+def _texts(b: pa.RecordBatch, headers: frozenset[str] | None, at: int) -> Iterator[tuple[str | None, frozenset[str]]]:
+    """Each text of a batch with the headers to look for: those given to every worker, or its own of the column behind it."""
+    own = b.column(at + 1).to_pylist() if headers is None else [None] * b.num_rows
+    for text, heads in zip(b.column(at).to_pylist(), own, strict=True):
+        yield text, frozenset(heads or ()) if headers is None else headers
+
+
+def word_counts(texts: DataFrame, headers: frozenset[str] | None) -> DataFrame:
     """(word, clean, scanned): how often each word occurs in texts of either kind; summed within batches first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = (Counter(), Counter())
         for b in batches:
-            for t in b.column(0).to_pylist():
-                lines, skip, breaks, scan = _look(t, headers)
+            for t, heads in _texts(b, headers, 0):
+                lines, skip, breaks, scan = _look(t, heads)
                 totals[scan].update(scan_words(lines, skip, breaks) if scan else _WORD.findall(t.lower()))
             if len(totals[0]) + len(totals[1]) > 300_000:
                 yield from emit(totals)
@@ -140,11 +149,38 @@ def word_counts(texts: DataFrame, headers: frozenset[str]) -> DataFrame:
             part = words[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([totals[0][w] for w in part], pa.int64()), pa.array([totals[1][w] for w in part], pa.int64())], names=["word", "clean", "scanned"])
 
-    counted = texts.select("text").mapInArrow(run, "word string, clean bigint, scanned bigint")
+    counted = texts.select("text", "heads").mapInArrow(run, "word string, clean bigint, scanned bigint")
     return counted.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned"))
 
 
-def line_facts(texts: DataFrame, headers: frozenset[str], frequent: frozenset[str]) -> DataFrame:
+def following(texts: DataFrame, headers: frozenset[str] | None, words: frozenset[str] | None) -> DataFrame:
+    """(before, word, n): how often each of the words (None: each word) follows another, broken words joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for t, heads in _texts(b, headers, 0):
+                lines, skip, breaks, scan = _look(t, heads)
+                before = None
+                for w in scan_words(lines, skip, breaks) if scan else _WORD.findall(t.lower()):
+                    if before is not None and (words is None or w in words):
+                        total[before, w] += 1
+                    before = w
+            if len(total) > 300_000:
+                yield from emit(total)
+                total = Counter()
+        yield from emit(total)
+
+    def emit(total: Counter) -> Iterator[pa.RecordBatch]:
+        pairs = list(total)
+        for k in range(0, len(pairs), 100_000):
+            part = pairs[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.string()), pa.array([total[x] for x in part], pa.int64())], names=["before", "word", "n"])
+
+    return texts.select("text", "heads").mapInArrow(run, "before string, word string, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n"))
+
+
+def line_facts(texts: DataFrame, headers: frozenset[str] | None, frequent: frozenset[str]) -> DataFrame:
     """Of scanned texts: furniture lines, broken words, and per line the words that are not frequent.
 
     kind 'furniture' and 'hyphen' are results; 'word' has a form to look up, 'join' two neighbours
@@ -154,8 +190,8 @@ def line_facts(texts: DataFrame, headers: frozenset[str], frequent: frozenset[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[] for _ in names]
-            for table, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                lines, skip, breaks, scan = _look(text, headers)
+            for table, key, (text, own) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b, headers, 2), strict=True):
+                lines, skip, breaks, scan = _look(text, own)
                 if not scan:
                     continue
                 heads = {i: (left, j, right) for i, left, j, right in breaks}
@@ -179,14 +215,14 @@ def line_facts(texts: DataFrame, headers: frozenset[str], frequent: frozenset[st
                         words = words[1:]
                     known = [w in frequent for w in words]
                     for k, w in enumerate(words):
-                        if not known[k] and len(w) > 2:
+                        if not known[k] and len(w) > 1 + w.isalpha():
                             add(i, "word", w, before=words[k - 1] if k else None)
                         if k and not (known[k] and known[k - 1]) and words[k - 1].isalpha() and w.isalpha() and f"{words[k - 1]} {w}" in line.lower():
                             add(i, "join", words[k - 1] + w, words[k - 1], w)
             types = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
-    return texts.select(*KEY, "text").mapInArrow(run, "item_table string, citation_key string, line_no int, next_no int, kind string, form string, left string, right string, before string")
+    return texts.select(*KEY, "text", "heads").mapInArrow(run, "item_table string, citation_key string, line_no int, next_no int, kind string, form string, left string, right string, before string")
 
 
 def trie(words: list[str]) -> dict:
@@ -272,42 +308,84 @@ def candidates(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return cogrouped(a, b, "shard").applyInPandas(search, "form string, n_form bigint, word string, n_word bigint, edit string").distinct()
 
 
-def corrections(found: DataFrame, min_forms: float = 0.0005) -> DataFrame:
-    """(form, word): the believed correction of each misread form.
+def ranked(found: DataFrame, min_forms: float = 0.0005) -> DataFrame:
+    """(form, word, edit, score): the candidates of each misread form by a believed misreading.
 
     A misreading is believed if it explains at least ``min_forms`` of all forms that have an
     explanation; the count is of different forms, so one frequent word cannot carry it."""
     likely = found.filter(F.col("n_word") >= 5 * F.col("n_form"))
     edits = likely.groupBy("edit").agg(F.count_distinct("form").alias("forms"))
     total = edits.agg(F.sum("forms").alias("total"))
+    # the believed ones are at most 1 / min_forms
     believed = edits.join(F.broadcast(total), F.lit(True)).filter((F.col("forms") >= 3) & (F.col("forms") >= min_forms * F.col("total")))
-    # the edits are pairs of at most two characters each; their number is bounded by the alphabet
     scored = likely.join(F.broadcast(believed), "edit").withColumn("score", F.ln("forms") + 0.5 * F.ln("n_word"))
-    best = F.row_number().over(Window.partitionBy("form").orderBy(F.col("score").desc(), "word", "edit"))
+    return scored.groupBy("form", "word").agg(F.max("score").alias("score"), F.max_by("edit", F.struct("score", "edit")).alias("edit"))
+
+
+def corrections(scored: DataFrame) -> DataFrame:
+    """(form, word, edit): the best candidate of each form, its neighbours aside."""
+    best = F.row_number().over(Window.partitionBy("form").orderBy(F.col("score").desc(), "word"))
     return scored.withColumn("r", best).filter("r = 1").select("form", "word", "edit")
 
 
-def header_names(venues: DataFrame) -> frozenset[str]:
-    """Folded names of venues, which stand in running headers; of bounded number."""
+def in_context(words: DataFrame, scored: DataFrame, texts: DataFrame, headers: frozenset[str] | None, reach: float = 3.0, weight: float = 1.5) -> DataFrame:
+    """(form, before, word): the best candidate of each form behind each word, where candidates within ``reach`` of the best rival."""
+    by_form = Window.partitionBy("form")
+    rivals = scored.withColumn("top", F.max("score").over(by_form)).filter(F.col("score") >= F.col("top") - reach).withColumn("k", F.count(F.lit(1)).over(by_form)).filter("k > 1").select("form", "word", "score")
+    rivals = checkpoint(rivals)
+    asked = rivals.select("word").distinct()
+    only = frozenset(r[0] for r in asked.collect()) if small_enough(asked, MAX_RIVALS) else None
+    places = words.filter(F.col("before").isNotNull()).select("form", "before").distinct().join(rivals, "form")
+    seen = places.join(following(texts, headers, only), ["before", "word"], "left")
+    total = F.col("score") + weight * F.log1p(F.coalesce("n", F.lit(0)))
+    return seen.groupBy("form", "before").agg(F.max_by("word", F.struct(total, "word")).alias("word"))
+
+
+def header_names(venues: DataFrame) -> frozenset[str] | None:
+    """Folded names of venues, which stand in running headers; None where they are too many to be given to every worker."""
     names = [r[0] for r in venues.filter(F.col("venue").isNotNull()).select("venue").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(names) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} venues")
-    return frozenset(fold(n) for n in names if n.strip())
+    return None if len(names) > MAX_HEADERS else frozenset(fold(n) for n in names if n.strip())
+
+
+def with_headers(texts: DataFrame, venues: DataFrame, headers: frozenset[str] | None) -> DataFrame:
+    """The texts with the column ``heads``: of too many venues those whose folded name is a line of the text."""
+    if headers is not None:
+        return texts.withColumn("heads", F.lit(None).cast("array<string>"))
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(v) for v in b.column(0).to_pylist()], pa.string())], names=["head"])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(table, key, h) for table, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for h in {fold(x) for x in (text or "").split("\n")}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=[*KEY, "head"])
+
+    names = venues.filter(F.trim("venue") != "").select("venue").distinct().mapInArrow(folded, "head string").filter("head <> ''").distinct()
+    found = texts.select(*KEY, "text").mapInArrow(lines, "item_table string, citation_key string, head string").join(names, "head")
+    # bounded by the lines of a text
+    heads = found.groupBy(*KEY).agg(F.collect_set("head").alias("heads")).withColumnsRenamed({c: f"_{c}" for c in KEY})
+    same = F.col("item_table").eqNullSafe(F.col("_item_table")) & F.col("citation_key").eqNullSafe(F.col("_citation_key"))
+    return texts.join(heads, same, "left").drop("_item_table", "_citation_key")
 
 
 def analysed(texts: DataFrame, venues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts, fixes): the facts of all lines, and for each damaged word its line, form and correction."""
     headers = header_names(venues)
-    texts = texts.filter(F.trim("text") != "").select(*KEY, "text").distinct()
+    texts = with_headers(texts.filter(F.trim("text") != "").select(*KEY, "text").distinct(), venues, headers)
     counts = checkpoint(word_counts(texts, headers))
     frequent = frozenset(r[0] for r in counts.filter(F.col("clean") >= KNOWN).orderBy(F.col("clean").desc(), "word").limit(FREQUENT).select("word").collect())
     facts = checkpoint(line_facts(texts, headers, frequent))
     known = counts.filter(F.col("clean") >= KNOWN).select("word")
     words = facts.filter("kind = 'word'")
     unknown = words.groupBy("form").agg(F.count(F.lit(1)).alias("n_form")).join(known.withColumnRenamed("word", "form"), "form", "left_anti")
-    vocabulary = counts.filter((F.col("clean") >= KNOWN) | (F.col("scanned") >= 5)).filter(F.length("word") > 2).select("word", (F.col("clean") + F.col("scanned")).alias("n_word"))
-    fixes = corrections(candidates(unknown, vocabulary))
-    misread_words = words.join(fixes, "form").select(*KEY, "line_no", "next_no", "left", "form", "word")
+    vocabulary = counts.filter((F.col("clean") >= KNOWN) | (F.col("scanned") >= 5)).filter(F.length("word") > 1).select("word", (F.col("clean") + F.col("scanned")).alias("n_word"))
+    scored = checkpoint(ranked(candidates(unknown, vocabulary)))
+    chosen = in_context(words, scored, texts, headers).withColumnRenamed("word", "meant")
+    misread_words = (
+        words.join(corrections(scored), "form").join(chosen, ["form", "before"], "left")
+        .select(*KEY, "line_no", "next_no", "left", "form", F.coalesce("meant", "word").alias("word"))
+    )
     joins = (
         facts.filter("kind = 'join'").select(*KEY, "line_no", "form", "left", "right")
         .join(known.withColumnRenamed("word", "form"), "form", "left_semi")
@@ -362,13 +440,13 @@ def repaired(texts: DataFrame, venues: DataFrame) -> DataFrame:
     headers = header_names(venues)
     _, fixes = analysed(texts, venues)
     mends = fixes.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "form", "word")).alias("mends"))
-    rows = texts.select(*KEY, "text").filter(F.col("text").isNotNull()).distinct().join(mends, KEY, "left")
+    rows = with_headers(texts.select(*KEY, "text").filter(F.col("text").isNotNull()).distinct(), venues, headers).join(mends, KEY, "left").select(*KEY, "text", "heads", "mends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done, kinds = [], []
-            for text, mends_ in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                _, skip, breaks, scan = _look(text, headers)
+            for (text, heads), mends_ in zip(_texts(b, headers, 2), b.column(4).to_pylist(), strict=True):
+                _, skip, breaks, scan = _look(text, heads)
                 by_line: dict[int, list] = {}
                 for m in mends_ or []:
                     by_line.setdefault(m["line_no"], []).append((m["form"], m["word"]))

@@ -91,7 +91,7 @@ def test_scanned_pages(spark):
 def test_misread_forms_are_corrected(spark):
     forms = spark.createDataFrame([("sirnulation", 2), ("rnodel", 1), ("tirne", 1), ("unknowable", 1)], "form string, n_form bigint")
     vocabulary = spark.createDataFrame([("simulation", 100), ("model", 80), ("time", 50)], "word string, n_word bigint")
-    got = {r.form: r.word for r in S.corrections(S.candidates(forms, vocabulary), 0.01).collect()}
+    got = {r.form: r.word for r in S.corrections(S.ranked(S.candidates(forms, vocabulary), 0.01)).collect()}
     assert got == {"sirnulation": "simulation", "rnodel": "model", "tirne": "time"}
 
 
@@ -104,3 +104,28 @@ def test_page_numbers_and_tables():
     assert S.furniture(["F = E", "(12)", "", "235 281"], none) == set()
     assert S.furniture(["Annals of X", "ANNALS OF X   12", "Anna1s 0f X", "word"], frozenset([S.fold("Annals of X")])) == {0, 1, 2}
     assert F is not None
+
+
+def test_context_decides_between_candidates(spark):
+    """'tbe' fits 'the' and 'toe'; the words before it decide."""
+    scored = spark.createDataFrame([("bave", "have", 5.0), ("bave", "cave", 4.5), ("lone", "tone", 3.0)], "form string, word string, score double")
+    words = spark.createDataFrame([("bave", "we"), ("bave", "dark"), ("bave", None), ("bave", "new"), ("lone", "we")], "form string, before string")
+    texts = spark.createDataFrame([("t", f"k{i}", "we have a dark cave and we have a lamp", None) for i in range(4)], "item_table string, citation_key string, text string, heads array<string>")
+    got = {(r.form, r.before): r.word for r in S.in_context(words, scored, texts, frozenset()).collect()}
+    assert got == {("bave", "we"): "have", ("bave", "dark"): "cave", ("bave", "new"): "have"}
+
+
+def test_many_venues_are_joined(spark, monkeypatch):
+    rows = [("corpus", "s1", "some running text that goes on and\nAnnals of Very Old Things 12\non to the next page of the text", None), ("corpus", None, "some running text\nAnnals of Very Old Things\ngoes on", None), ("corpus", "c1", "no header in this\ntext", None)]
+    df = spark.createDataFrame(rows, "item_table string, citation_key string, text string, heads string").drop("heads")
+    venues = spark.createDataFrame([("Annals of Very Old Things",), ("Other",), (None,), ("",)], "venue string")
+    few = sorted(map(tuple, S.found_lines(df, venues).collect()), key=str)
+    monkeypatch.setattr(S, "MAX_HEADERS", 1)
+    assert S.header_names(venues) is None
+    assert sorted(map(tuple, S.found_lines(df, venues).collect()), key=str) == few and ("corpus", "s1", 2, "furniture") in few and ("corpus", None, 2, "furniture") in few
+
+
+def test_short_scans_and_long_lines():
+    assert S._look("a word that is bro-\nken", frozenset())[3] and S._look("[12]", frozenset())[1] == {0}
+    wide = "x" * 300
+    assert S.furniture([wide, wide, "Kim et al. / " + "Journal " * 20 + "(2020)", wide], frozenset()) == {2}
