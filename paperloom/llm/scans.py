@@ -2,8 +2,8 @@
 
 Three passes. The first counts the words of scanned and of other texts. The second finds furniture
 and broken words line by line, and the words that are not among the most frequent ones. These are
-looked up in the vocabulary of all texts: vocabulary words are sharded by their first or last
-characters into tries, and an automaton that allows one misreading (a character for another, one
+looked up in the vocabulary of all texts: vocabulary words are sharded by length and a segment
+into tries, and an automaton that allows one misreading (a character for another, one
 for two or two for one, one too many or too few) is intersected with each trie, so that every
 candidate within that distance is found. Which misreadings are believed is learned from all texts:
 the edits that turn many different unknown words into far more frequent known ones. Candidates are
@@ -25,13 +25,13 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.runtime import checkpoint, cogrouped, small_enough
+from paperloom.llm.tries import trie_join
+from paperloom.runtime import checkpoint, small_enough
 
 KEY = ["item_table", "citation_key"]
 FREQUENT = 4096  # words every worker knows; a fixed bound, the rest is joined
@@ -225,16 +225,6 @@ def line_facts(texts: DataFrame, headers: frozenset[str] | None, frequent: froze
     return texts.select(*KEY, "text", "heads").mapInArrow(run, "item_table string, citation_key string, line_no int, next_no int, kind string, form string, left string, right string, before string")
 
 
-def trie(words: list[str]) -> dict:
-    root: dict = {}
-    for w in words:
-        node = root
-        for ch in w:
-            node = node.setdefault(ch, {})
-        node[""] = w
-    return root
-
-
 def misread(root: dict, form: str) -> set[tuple[str, str]]:
     """(word, 'seen>meant') of all words of the trie that are one misreading away from ``form``."""
     out = set()
@@ -272,40 +262,16 @@ def misread(root: dict, form: str) -> set[tuple[str, str]]:
     return {(w, e) for w, e in out if w != form}
 
 
-def _shards(word, length):
-    """Shard keys of a word: an edit touches two characters at most, so its beginning or its end is whole."""
-    return F.array(F.concat(F.lit("<"), F.substring(word, 1, length)), F.concat(F.lit(">"), F.substring(word, -length, length)))
-
-
 def candidates(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(form, n_form, word, n_word, edit) of all vocabulary words one misreading away from each form.
 
     A form with signs that do not stand in words is also looked up with the letters meant by them."""
     plain = F.translate("form", SIGNS, LETTERS)
-    forms = forms.select("form", "n_form", F.explode(F.array_distinct(F.array(F.col("form"), F.when(F.col("form").rlike("[^0-9]{2}"), plain).otherwise(F.col("form"))))).alias("seen"))
-    long = F.length("seen") >= 6
-    a = forms.withColumn("shard", F.explode(F.when(long, _shards(F.col("seen"), 2)).otherwise(_shards(F.col("seen"), 1))))
-    size = F.length("word")
-    b = vocabulary.withColumn("shard", F.explode(F.when(size <= 4, _shards(F.col("word"), 1)).when(size <= 6, F.concat(_shards(F.col("word"), 1), _shards(F.col("word"), 2))).otherwise(_shards(F.col("word"), 2))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            counts = dict(zip(right["word"], right["n_word"], strict=True))
-            backwards = right["shard"].iloc[0][0] == ">"
-            # tries of words by their end are read backwards, so that what is whole comes first
-            root = trie([w[::-1] for w in counts] if backwards else list(counts))
-            for form, n, seen in zip(left["form"], left["n_form"], left["seen"], strict=True):
-                found = misread(root, seen[::-1] if backwards else seen)
-                if seen != form and seen in counts:
-                    rows.append((form, n, seen, counts[seen], "sign"))
-                for word, edit in found:
-                    if backwards:
-                        word, edit = word[::-1], ">".join(x[::-1] for x in edit.split(">"))
-                    rows.append((form, n, word, counts[word], edit))
-        return pd.DataFrame(rows, columns=["form", "n_form", "word", "n_word", "edit"])
-
-    return cogrouped(a, b, "shard").applyInPandas(search, "form string, n_form bigint, word string, n_word bigint, edit string").distinct()
+    looked = forms.select("form", "n_form", F.explode(F.array_distinct(F.array(F.col("form"), F.when(F.col("form").rlike("[^0-9]{2}"), plain).otherwise(F.col("form"))))).alias("seen"))
+    found = trie_join(looked.select(F.col("seen").alias("a")).distinct(), vocabulary.select(F.col("word").alias("b")), 1, misread)
+    near = looked.join(found.withColumnRenamed("a", "seen"), "seen").select("form", "n_form", F.col("b").alias("word"), "edit")
+    signs = looked.filter("seen <> form").select("form", "n_form", F.col("seen").alias("word"), F.lit("sign").alias("edit"))
+    return near.unionByName(signs).distinct().join(vocabulary, "word").select("form", "n_form", "word", "n_word", "edit")
 
 
 def ranked(found: DataFrame, min_forms: float = 0.0005) -> DataFrame:

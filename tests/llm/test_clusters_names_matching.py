@@ -6,6 +6,7 @@ import pytest
 from paperloom.llm import clusters as C
 from paperloom.llm import matching as M
 from paperloom.llm import names as N
+from paperloom.llm import tries as T
 
 
 def groups(seed, sizes, dim=16, noise=0.1):
@@ -83,19 +84,38 @@ def test_small_dimensions():
     assert C.grid_shape(10, 1) == (1, 1, 1) and C.grid_shape(10**9, 2)[1] == 2
 
 
-def damerau1(a, b):
-    if a == b:
-        return False
-    return any(a[:i] + a[i + 1 :] == b or a[:i] + c + a[i:] == b or a[:i] + c + a[i + 1 :] == b or a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :] == b for i in range(len(a) + 1) for c in "abc")
-
-
-def test_trie_join_is_complete(spark):
+@pytest.mark.parametrize(("distance", "limit"), [(1, T.TRIE), (1, 3), (2, T.TRIE)])
+def test_trie_join_is_complete(spark, distance, limit):
     rng = random.Random(4)
-    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 11))) for _ in range(250)})
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 11))) for _ in range(200)})
     words += sorted({w[:i] + w[i + 1 :] for w in words[::3] if len(w) > 3 for i in (0, len(w) // 2, len(w) - 1)} - set(words))
     df = spark.createDataFrame([(w,) for w in words if w], "w string")
-    got = {(r.a, r.b) for r in N.trie_join(df.selectExpr("w as a"), df.selectExpr("w as b")).collect()}
-    assert got == {(a, b) for a in words for b in words if a and b and damerau1(a, b)}
+    got = {(r.a, r.b) for r in T.trie_join(df.selectExpr("w as a"), df.selectExpr("w as b"), distance, limit=limit).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and 0 < osa(a, b) <= distance}
+
+
+def osa(a, b):
+    """Brute force: edits with swaps of neighbours."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_organisations(spark):
+    one = ["CERN Lab", "CERN Laboratory", "The CERN Laboratory"]
+    two = ["Kranz Institute for Adaptive Robotics", "Kranz Institute AR", "Kranz Inst. f. Adapt. Robot.", "KRANZ Institute of Adaptive obotics", "Kranz Institute of Robotics, Adaptive"]
+    three = ["Hall Institute for Adaptive Robotics", "Hall Institute Adapt. Robotics"]
+    # an own name in more names than the words of its field
+    units = [f"Kranz Institute for {f}" for f in ("Optics", "Theoretical Biology", "Systems Research", "Brain and Behaviour", "Applied Inference")] + [f"Kranz Centre for {f}" for f in ("Optics", "Adaptive Robotics")]
+    orgs = spark.createDataFrame([(n,) for n in [*one, *two, *three, *units, "Institute", "Society of the"]], "name string")
+    links = N.organisation_links(orgs)
+    label = {r.citation_key: r.label for r in C.propagate(links.selectExpr("'' as collection", "a", "b")).collect()}
+    groups = {frozenset(k for k in label if label[k] == v) for v in label.values()}
+    assert groups == {frozenset(one), frozenset(two), frozenset(three)}
 
 
 @pytest.mark.parametrize(("name", "want"), [

@@ -1,10 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.llm import scans as S
 from paperloom.llm import split as P
+from paperloom.llm.tries import trie
 
 
 def check(text, limit=P.LIMIT, overlap=P.OVERLAP):
@@ -63,7 +65,7 @@ def edits(form, word):
 def test_automaton_is_complete(seed):
     rng = random.Random(seed)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(150)})
-    root = S.trie(words)
+    root = trie(words)
     for _ in range(60):
         form = "".join(rng.choice("abc") for _ in range(rng.randint(1, 7)))
         assert {w for w, _ in S.misread(root, form)} == {w for w in words if w != form and edits(form, w)}
@@ -129,3 +131,13 @@ def test_short_scans_and_long_lines():
     assert S._look("a word that is bro-\nken", frozenset())[3] and S._look("[12]", frozenset())[1] == {0}
     wide = "x" * 300
     assert S.furniture([wide, wide, "Kim et al. / " + "Journal " * 20 + "(2020)", wide], frozenset()) == {2}
+
+
+def test_candidates_against_brute_force(spark):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcm") for _ in range(rng.randint(2, 8))) for _ in range(150)})
+    forms = sorted({"".join(rng.choice("abcm0") for _ in range(rng.randint(2, 8))) for _ in range(120)})
+    got = {(r.form, r.word) for r in S.candidates(spark.createDataFrame([(f, 1) for f in forms], "form string, n_form bigint"), spark.createDataFrame([(w, 9) for w in words], "word string, n_word bigint")).filter("edit <> 'sign'").collect()}
+    plain = {f: f.translate(str.maketrans(S.SIGNS, S.LETTERS)) for f in forms}
+    seen = lambda f: {f, plain[f]} if re.search("[^0-9]{2}", f) else {f}
+    assert got == {(f, w) for f in forms for w in words if any(v != w and edits(v, w) for v in seen(f))}
