@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from urllib.parse import urljoin
 
 #: Per publisher the hosts, patterns of ids with the addresses built from them, and patterns of links.
@@ -74,18 +75,18 @@ def page_text(page: str | bytes | None) -> str:
     return clean_text("\n\n".join(x for x in ([strip_tags(title[1]).strip()] if title else []) + [strip_tags(p).strip() for p in parts] if x))
 
 
-PAPER_WORDS = "abstract introduction method methods methodology results discussion conclusion references background experiment experiments analysis data related work figure table".split()
+#: Terms of which a paper has one.
+PAPER_TERMS = (
+    "abstract", "introduction", "methods", "methodology", "results", "discussion", "conclusion", "references", "background", "related work", "related works", "literature review", "experiments",
+    "experimental", "evaluation", "analysis", "method", "approach",
+)
 
 
 def is_paper(text: str, least: int = 2000) -> bool:
-    """HT10: long enough, a word of papers, a hundred words, and no pair of words that is everywhere."""
-    if not text or len(text) < least:
-        return False
-    words = text.lower().split()
-    if len(words) < 100 or not set(words) & set(PAPER_WORDS):
+    """HT10: long enough, a term of papers, a hundred words, and no short pair of words that is everywhere."""
+    low = (text or "").lower()
+    words = low.split()
+    if len(text or "") < least or len(words) < 100 or not any(t in low for t in PAPER_TERMS):
         return False
-    pairs: dict = {}
-    for a, b in zip(words, words[1:], strict=False):
-        if len(a) + len(b) < 12:
-            pairs[a, b] = pairs.get((a, b), 0) + 1
-    return not pairs or max(pairs.values()) <= 0.1 * len(words)
+    pairs = Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if len(a) + len(b) < 19)
+    return max(pairs.values(), default=0) <= 0.1 * len(words)

@@ -26,36 +26,47 @@ def sections(text: str) -> dict[str, tuple[int, int]]:
     return out
 
 
-def simple_chunks(text: str, size: int = 15000, overlap: int = 500, least: int = 1000) -> list[tuple[int, int]]:
-    """TX4: (start, end) of sliding chunks that end at a full stop or line end where one is near."""
-    n, out, at = len(text), [], 0
-    while at < n:
-        end = min(at + size, n)
-        if end < n:
-            cut = max(end - 200, text.rfind(".", at, end), text.rfind("\n", at, end))
-            end = cut + 1 if cut > at else end
-        start = max(0, at - overlap) if out else at
-        if len(text[start:end].strip()) >= least or n <= size:
-            out.append((start, end))
-        if end >= n:
-            break
-        follow = max(end - overlap, at + 1)
-        at = end if out and follow <= out[-1][0] else follow
+def break_positions(text: str, size: int, overlap: int, start: int = 0) -> list[int]:
+    """Ends of the windows that are laid over a text from ``start`` on: at the last full stop or line end of a window,
+    where one is in its last 200 characters, else one behind these; the next window begins ``overlap`` before it."""
+    out, at = [], start
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            end = max(end - 200, text.rfind(".", at, end), text.rfind("\n", at, end)) + 1
+        out.append(min(end, len(text)))
+        at = out[-1] if out[-1] == len(text) else max(out[-1] - overlap, at + 1)
     return out
 
 
+def simple_chunks(text: str, size: int = 15000, overlap: int = 500, least: int = 1000, start: int = 0) -> list[tuple[int, int]]:
+    """TX4: (start, end) of sliding chunks; each window but the first begins ``overlap`` before the end of the one before and
+    takes as much before it along; chunks of fewer than ``least`` characters are left out, unless the text is one."""
+    ends = break_positions(text, size, overlap, start)
+    starts = [start, *(e - overlap for e in ends[:-1])][: len(ends)]
+    laid = [(max(0, s - overlap) if i or start else s, e) for i, (s, e) in enumerate(zip(starts, ends, strict=True))]
+    return [(s, e) for s, e in laid if len(text[s:e].strip()) >= least or len(ends) == 1]
+
+
 def chunks(text: str, size: int = 15000, overlap: int = 500) -> list[tuple[str, int, int]]:
-    """TX3, TX4, TX5: (section, start, end); a text up to ``size`` is one chunk, main sections come first."""
+    """TX3, TX4, TX5: (section, start, end); a text up to ``size`` is one chunk.
+
+    Otherwise main sections that fit into one chunk together come first, then what no section of these holds,
+    as sliding chunks to the end of the text: nothing of the text is left out."""
     if len(text) <= size:
         return [("whole", 0, len(text))]
-    got = sections(text)
-    first = [(n, *got[n]) for n in ("abstract", "introduction", "conclusion") if n in got]
-    rest = [(n, s, e) for n, (s, e) in got.items() if n not in ("abstract", "introduction", "conclusion")]
-    if not first:
+    got, main, room = sections(text), [], size
+    for name in ("abstract", "introduction", "conclusion"):
+        if name in got and got[name][1] - got[name][0] <= room:
+            main.append((name, *got[name]))
+            room -= got[name][1] - got[name][0]
+    if not main:
         return [("part", s, e) for s, e in simple_chunks(text, size, overlap)]
-    out = list(first)
-    for name, s, e in rest or [("body", max(e for _, _, e in first), len(text))]:
-        out.extend((name, s + a, s + b) for a, b in simple_chunks(text[s:e], size, overlap))
+    out, at = list(main), 0
+    for _, s, e in [*sorted(main, key=lambda x: x[1]), ("", len(text), len(text))]:
+        if text[at:s].strip():
+            out.extend(("rest", at + a, at + b) for a, b in simple_chunks(text[at:s], size, overlap, 1))
+        at = max(at, e)
     return out
 
 

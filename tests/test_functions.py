@@ -11,7 +11,7 @@ SUMMARY = "# Active Inference\n\n### Overview\n" + "The model was tested with 45
 
 @pytest.mark.parametrize("n", [5, 10, 50, 100])
 def test_repeated_sections(n):
-    text = "\n\n".join(["### Same\nThis section says the very same thing again and again, without any end."] * n)
+    text = "\n\n".join(["### Same\nThis section says the very same thing again and again, without any end, and it goes on for more than a hundred characters."] * n)
     assert rep.detect(text)[0] and rep.repeated_headers(text) and len(rep.without_repeated_sections(text, "aggressive")) < len(text) / 2
 
 
@@ -44,15 +44,15 @@ def test_checks():
     assert quality.bullets_in_source("* PyTorch (v1)\n* Keras", "we used pytorch") == "* PyTorch (v1)"
     assert quality.without_bloat("\n".join(["not specified"] * 5)).count("not") == 3
     assert quality.formatting_ok("fine text") and not quality.formatting_ok("what!!!")
-    assert quality.citations("as shown (Smith, 2020) and [1, 2]") == ["(Smith, 2020)", "[1, 2]"]
+    assert quality.citations("as shown (Smith 2020) and [1], [1, 2]") == ["Smith 2020", "1"]
     assert quality.missing_headers("# Overview\n", ["Overview", "Results"]) == ["Results"]
-    assert quality.is_off_topic("dear sir, hi there") and not quality.is_off_topic("dear sir, the methods and results of the study")
+    assert quality.is_off_topic("Dear sir, hi there") and not quality.is_off_topic("Dear sir, the authors of the study")
     assert quality.action_items("- [ ] add data\nTODO: check\n3. Fix tables") == ["add data", "check", "Fix tables"]
 
 
 def test_chunks():
     assert structure.chunks("short text") == [("whole", 0, 10)]
-    text = "1. Introduction\n" + "Words and more words. " * 2000 + "\n2. Methods\n" + "Done so. " * 3000 + "\n3. Conclusion\nEnd."
+    text = "1. Introduction\n" + "Words and more words. " * 200 + "\n2. Methods\n" + "Done so. " * 3000 + "\n3. Conclusion\nEnd."
     got = structure.chunks(text, 15000, 500)
     assert [n for n, _, _ in got][:2] == ["introduction", "conclusion"] and all(0 <= s < e <= len(text) for _, s, e in got)
     assert list(structure.sections(text)) == ["introduction", "methods", "conclusion"]
