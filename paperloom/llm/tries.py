@@ -29,11 +29,44 @@ def trie(words: Iterable[str]) -> dict:
     return root
 
 
+def one_edit(root: dict, word: str) -> set[str]:
+    """``neighbours`` for the distance 1, where a path leaves the word once and then has to follow it to its end."""
+    out: set[str] = set()
+
+    def rest(node: dict, i: int) -> None:
+        for ch in word[i:]:
+            node = node.get(ch)
+            if node is None:
+                return
+        if "" in node:
+            out.add(node[""])
+
+    node = root
+    for i in range(len(word) + 1):
+        ch = word[i : i + 1]
+        if ch:
+            rest(node, i + 1)
+        for c, below in node.items():
+            if c:
+                rest(below, i)
+                if ch and c != ch:
+                    rest(below, i + 1)
+                    if word[i + 1 : i + 2] == c and ch in below:
+                        rest(below[ch], i + 2)
+        if not ch or ch not in node:
+            break
+        node = node[ch]
+    out.discard(word)
+    return out
+
+
 def neighbours(root: dict, word: str, distance: int = 1) -> set[str]:
     """All other words of the trie within ``distance`` edits: a character changed, added, left out or swapped with the next.
 
     The state of the automaton is the row of edit distances to all beginnings of ``word``, of which those above the
     distance are dropped; a branch ends where none is left."""
+    if distance == 1:
+        return one_edit(root, word)
     out: set[str] = set()
     n, far = len(word), distance + 1
     first = [min(i, far) for i in range(n + 1)]
