@@ -111,6 +111,14 @@ def new_entries(results: DataFrame, library: DataFrame) -> DataFrame:
     return numbered_keys(first, "seq")
 
 
+def as_results(library: DataFrame) -> DataFrame:
+    """FL15, FL16: library entries in the layout of search results, for searches over both."""
+    return library.select(
+        "title", F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "year", "abstract", "url", F.nullif("doi", F.lit("")).alias("doi"),
+        F.coalesce("source", F.lit("library")).alias("source"), F.col("pdf_path").alias("pdf_url"), "venue", "citation_count",
+    )
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """DD4, DD8: rows of ``changes`` replace those of the same key field by field where they are not null; new ones are added."""
     cols = [c for c in table.columns if c != key]

@@ -37,36 +37,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vec: str, k: int =
     Queries travel in blocks of a fixed size; each partition keeps its best k per query, so that what
     is shuffled is bounded by queries times partitions. Equal cosines are ordered by key."""
     kind = dict(vectors.dtypes)[key]
-    numbered = queries.select(F.col(key).alias("q"), F.col(vec).alias("qv")).withColumn("_b", F.monotonically_increasing_id())
+    keys_as = pa.int64() if kind == "bigint" else pa.string()
     out = None
-    total = queries.count()
-    for lo in range(0, max(total, 1), BLOCK):
-        rows = numbered.orderBy("q").offset(lo).limit(BLOCK).select("q", "qv").collect() if total else []
-        keys, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
-        if rows:
-            size = np.linalg.norm(matrix, axis=1, keepdims=True)
-            matrix = matrix / np.where(size == 0, 1, size)
-
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            best: dict = {}
+    for keys, matrix in query_blocks(queries, key, vec):
+        size = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = matrix / np.where(size == 0, 1, size)
+
+        def run(batches: Iterator[pa.RecordBatch], keys=np.array(keys), matrix=matrix) -> Iterator[pa.RecordBatch]:
+            asked, found, cosines = np.zeros(0, np.int64), keys[:0], np.zeros(0)
+            floor = np.full(len(keys), -np.inf)
             for b in batches:
-                if not b.num_rows or not keys:
+                if not b.num_rows:
                     continue
-                ids = b.column(0).to_pylist()
-                v = np.array(b.column(1).to_pylist(), np.float64)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                sims = np.round(matrix @ (v / np.where(n == 0, 1, n)).T, 9)
-                for i, q in enumerate(keys):
-                    part = np.argpartition(-sims[i], min(k + 1, len(ids)) - 1)[: k + 1] if len(ids) > k + 1 else np.arange(len(ids))
-                    # all rows as good as the last one kept stay in, for the order by key
-                    edge = sims[i][part].min()
-                    got = [(-float(s), ids[j]) for j, s in enumerate(sims[i]) if s >= edge and ids[j] != q] if len(ids) > k + 1 else [(-float(sims[i][j]), ids[j]) for j in part if ids[j] != q]
-                    best[i] = sorted(best.get(i, []) + got)[:k]
-            flat = [(keys[i], n, -s) for i, xs in best.items() for s, n in xs]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.int64() if kind == "bigint" else pa.string()), pa.array([f[1] for f in flat], pa.int64() if kind == "bigint" else pa.string()), pa.array([f[2] for f in flat], pa.float64())], names=["query", "neighbour", "cosine"])
+                ids = np.array(b.column(0).to_pylist())
+                sims = np.round(matrix @ unit_rows(b.column(1)).T, 9)
+                sims[keys[:, None] == ids[None, :]] = -np.inf
+                if len(ids) > k:
+                    floor = np.maximum(floor, np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k])
+                i, j = np.nonzero((sims >= floor[:, None]) & (sims > -np.inf))
+                asked, found, cosines = np.concatenate([asked, i]), np.concatenate([found, ids[j]]), np.concatenate([cosines, sims[i, j]])
+                order = np.lexsort((found, -cosines, asked))
+                asked, found, cosines = asked[order], found[order], cosines[order]
+                # the place of each row among those of its query
+                place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+                asked, found, cosines, place = asked[place < k], found[place < k], cosines[place < k], place[place < k]
+                floor[asked[place == k - 1]] = cosines[place == k - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[asked], keys_as), pa.array(found, keys_as), pa.array(cosines, pa.float64())], names=["query", "neighbour", "cosine"])
 
         part = vectors.select(key, vec).mapInArrow(run, f"query {kind}, neighbour {kind}, cosine double")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, cosine double, rank int")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
