@@ -1,13 +1,12 @@
 """Matching of summaries and search hits that share no identifier, by loopy belief propagation.
 
-Candidate pairs share runs of three words of their titles, the subtitle aside, together with the
-beginning or end of the rarer token of an author's name, six words in a row and nearly the year, or
-the whole title. Beside these, every pair that the score can accept is found exactly: no word of such a
-hit's title may be without counterpart, so an index of title words and their misspellings is asked for its
-rarest words. Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
+Candidate pairs are all pairs that the score can accept: no word of such a hit's title may be without
+counterpart, so an index of title words and their misspellings is asked for its rarest words together.
+Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
 kinds of factors: a hit belongs to one summary at most, and a summary's hits of one source crowd each
 other out a little, since a source lists a work mostly once. Messages between pairs and factors are
 exchanged through joins on the factors' keys until they no longer change; the marginals are reported.
+Messages that have not come to rest after a stated number of rounds are an error, not a result.
 
 Defined results: titles that are null or blank match nothing; missing authors or years count neither
 for nor against; repeated rows of a summary or of a hit count once; extra columns are ignored; empty
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.names import ORG_KINDS, read
+from paperloom.llm.names import read
 from paperloom.runtime import checkpoint
 
 #: Log-odds of what a pair shows; fixed parameters of the model.
@@ -38,11 +37,8 @@ YEAR_OFF = -2.5
 SAME_SOURCE = 0.7  # log-odds that a further hit of the same source costs
 HARD = 30.0
 SMALL = frozenset("a an the of in on for and to with under from".split())
-RUN, LONE_RUN = 3, 6
-AGREE = 3  # keys with a name that must agree: two runs with a whole name, or three with an end of it
 ASKED = 4  # rarest words of a hit's title that are looked up together
-SHARED = 0.66  # words that titles equal up to typing errors have in common at least
-COMMON = 1000  # most frequent tokens of names, mostly given names; a fixed bound
+STEPS = 3  # rounds of messages that one job computes
 
 
 def title_words(title: str | None) -> tuple[list[str], int, bool]:
@@ -174,46 +170,19 @@ def parsed(df: DataFrame) -> DataFrame:
     return df.select("class", "title", "authors", "year", "source").mapInArrow(run, "class bigint, words array<string>, main int, cut boolean, people array<array<string>>, year int, source string").filter(F.size("words") > 0)
 
 
-def block_keys(df: DataFrame, ident: str, common: dict[str, int], lone: bool) -> DataFrame:
-    """(ident, key, weight): the whole title; longer title runs with the year, for summaries also the years
-    next to it; shorter runs with an end of the rarer token of an author's name, of which several must agree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, keys = [], []
-            for ident_, words, main, cut, people, year in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                found = {"t " + " ".join(words)}
-                if cut and len(words) > 1:
-                    words = words[:-1]
-                head = words[:main] if main >= RUN else words
-                runs = {" ".join(head[i : i + RUN]) for i in range(max(1, len(head) - RUN + 1))}
-                for name in people:
-                    tokens = [t for t in name if len(t) > 3 and t not in ORG_KINDS]
-                    rare = min((common.get(t, 0) for t in tokens), default=0)
-                    for t in tokens:
-                        if common.get(t, 0) > rare:
-                            continue
-                        part = -(-2 * len(t) // 3)
-                        found.update(f"f {end} {r}" for r in runs for end in (t[:part], t[-part:]))
-                if year:
-                    for some in (words, head):
-                        for i in {0, min(2, max(0, len(some) - LONE_RUN)), max(0, len(some) - LONE_RUN)}:
-                            found.update(f"r {y} " + " ".join(some[i : i + LONE_RUN]) for y in ((year - 1, year, year + 1) if lone else (year,)))
-                ids.extend([ident_] * len(found))
-                keys.extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=[ident, "key"])
-
-    got = df.select(F.col("class").alias(ident), "words", "main", "cut", "people", "year").mapInArrow(run, f"{ident} bigint, key string")
-    return got.select(ident, F.xxhash64("key").alias("key"), F.when(F.substring("key", 1, 1) == "f", 1).otherwise(AGREE).alias("weight"))
-
-
 def classes(df: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
-    """(one row per different content with its class, membership): equal records are compared once."""
+    """(one row per different content with its class, membership): equal records are compared once.
+
+    A class is numbered where its content is grouped, so that no two contents share one; the numbers are written,
+    since they depend on the partitioning."""
+    content = ["title", "authors", "year", "source"]
     rows = df.select(ident, "title", "authors", F.col("year").cast("int").alias("year"), F.lower(F.trim("source")).alias("source")).filter(F.trim("title") != "")
-    rows = rows.withColumn("class", F.xxhash64("title", F.coalesce(F.to_json(F.struct("authors")), F.lit("")), F.coalesce("year", F.lit(-1)), F.coalesce("source", F.lit(""))))
-    member = rows.select("class", ident).distinct()
-    first = rows.groupBy("class").agg(F.min_by(F.struct("title", "authors", "year", "source"), F.struct(ident)).alias("r")).select("class", "r.*")
-    return first, member
+    first = checkpoint(rows.select(*content).distinct().withColumn("class", F.monotonically_increasing_id()))
+    named = first.select("class", *[F.col(c).alias(f"_{c}") for c in content])
+    same = F.col("title") == F.col("_title")
+    for c in content[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return first, rows.join(named, same).select("class", ident).distinct()
 
 
 def deletions(word: str) -> set[str]:
@@ -307,18 +276,11 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(s, h, source, theta): candidate pairs of content classes with their log-odds, hopeless ones left out."""
-    tokens = left.select("people").unionByName(right.select("people")).select(F.explode(F.array_distinct(F.flatten("people"))).alias("t"))
-    common = dict(map(tuple, tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "t").limit(COMMON).collect()))
-    a, b = block_keys(left, "s", common, True), block_keys(right, "h", common, False)
-    pairs = a.join(b.drop("weight"), "key").groupBy("s", "h").agg(F.sum("weight").alias("w")).filter(F.col("w") >= AGREE).select("s", "h", F.lit(False).alias("whole"))
-    # the exact pairs are not held to the share of equal words
-    pairs = pairs.unionByName(word_pairs(left, right).withColumn("whole", F.lit(True))).groupBy("s", "h").agg(F.max("whole").alias("whole"))
+    pairs = word_pairs(left, right)
     fields = ["words", "main", "cut", "people", "year"]
     x = left.select(F.col("class").alias("s"), *fields)
     y = right.select(F.col("class").alias("h"), *[F.col(c).alias(f"{c}2") for c in fields], "source")
-    # other titles that share too few words are hopeless; decided before they leave the JVM
-    shared = F.size(F.array_intersect("words", "words2"))
-    both = pairs.join(x, "s").join(y, "h").filter(F.col("whole") | (shared >= SHARED * F.least(F.size("words"), F.size("words2"))))
+    both = pairs.join(x, "s").join(y, "h")
     both = both.select("s", "h", "source", *fields, *[f"{c}2" for c in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,22 +307,26 @@ def _crowd(group: list[str], incoming: str, out: str, penalty: float):
     return step
 
 
-def propagate_beliefs(pairs: DataFrame, rounds: int = 30, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
+def propagate_beliefs(pairs: DataFrame, rounds: int = 120, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
     """(s, h, match_score): marginal probabilities of the pairs."""
     now = checkpoint(pairs.select("s", "h", F.coalesce("source", F.lit("")).alias("source"), "theta", F.lit(0.0).alias("from_hit"), F.lit(0.0).alias("from_summary")))
-    for _ in range(rounds):
-        step = now.withColumns({"to_hit": F.col("theta") + F.col("from_summary"), "to_summary": F.col("theta") + F.col("from_hit")})
-        step = _crowd(["h"], "to_hit", "new_hit", HARD)(step)
-        step = _crowd(["s", "source"], "to_summary", "new_summary", SAME_SOURCE)(step)
-        mix = lambda new, old: F.col(new) * (1 - damping) + F.col(old) * damping
-        after = checkpoint(
-            step.select("s", "h", "source", "theta", mix("new_hit", "from_hit").alias("from_hit"), mix("new_summary", "from_summary").alias("from_summary"),
-                        F.greatest(F.abs(F.col("new_hit") - F.col("from_hit")), F.abs(F.col("new_summary") - F.col("from_summary"))).alias("change"))
-        )
-        worst = after.agg(F.max("change")).collect()[0][0]
-        now = after.drop("change")
+    mix = lambda new, old: F.col(new) * (1 - damping) + F.col(old) * damping
+    for _ in range(0, rounds, STEPS):
+        for _ in range(STEPS):
+            step = now.withColumns({"to_hit": F.col("theta") + F.col("from_summary"), "to_summary": F.col("theta") + F.col("from_hit")})
+            step = _crowd(["h"], "to_hit", "new_hit", HARD)(step)
+            step = _crowd(["s", "source"], "to_summary", "new_summary", SAME_SOURCE)(step)
+            now = step.select(
+                "s", "h", "source", "theta", mix("new_hit", "from_hit").alias("from_hit"), mix("new_summary", "from_summary").alias("from_summary"),
+                F.greatest(F.abs(F.col("new_hit") - F.col("from_hit")), F.abs(F.col("new_summary") - F.col("from_summary"))).alias("change"),
+            )
+        now = checkpoint(now)
+        worst = now.agg(F.max("change")).collect()[0][0]
         if worst is None or worst < tolerance:
             break
+        now = now.drop("change")
+    else:
+        raise RuntimeError(f"messages have not come to rest after {rounds} rounds: {worst}")
     belief = F.col("theta") + F.col("from_hit") + F.col("from_summary")
     return now.select("s", "h", (1 / (1 + F.exp(-belief))).alias("match_score"))
 

@@ -187,6 +187,8 @@ def test_beliefs_share_a_hit(spark):
     pairs = spark.createDataFrame([(1, 10, "x", 2.0), (2, 10, "x", 2.0), (3, 11, "x", 2.0), (4, 12, None, 9.0), (5, 12, None, -1.0)], "s bigint, h bigint, source string, theta double")
     got = {(r.s, r.h): r.match_score for r in M.propagate_beliefs(pairs).collect()}
     assert got[1, 10] == pytest.approx(got[2, 10]) and got[1, 10] < 0.5 < got[3, 11] and got[4, 12] > 0.99 and got[5, 12] < 0.01
+    with pytest.raises(RuntimeError):
+        M.propagate_beliefs(pairs, rounds=3, tolerance=1e-9)
     # on one hit the messages give the exact marginals of 'at most one'
     import math
 
