@@ -38,12 +38,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(counted, mixture.rates(counted, table(spark, d, "mix_targets")))
 
 
+def p8_full(spark: SparkSession, d: str) -> DataFrame:
+    """Shares asked for and reached at the size of all listed documents, where caps bind and the others fill up."""
+    counted = mixture.sizes(table(spark, d, "documents"))
+    return mixture.shares(counted, mixture.rates(counted, table(spark, d, "mix_targets"), mixture.ALL))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of keywords, links or tags rather than sentences."""
     return spam.spam_pages(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_full": p8_full, "p9_found": p9_found}
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:

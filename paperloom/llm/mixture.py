@@ -5,7 +5,9 @@ emitted floor(rate) times plus once more with the probability of the fraction, d
 of seed and document so that a repeated run draws alike.
 
 Without ``total_tokens`` the total is the largest at which every listed source that has documents
-reaches its weight within its repeats; a larger total lets caps bind, and the report says so.
+reaches its weight within its repeats. A larger total (``ALL`` for that of all listed documents) lets
+caps bind: a source that cannot give more leaves its part to the others in proportion to their weights,
+up to their own caps, and the report shows the shares that result.
 Sources are compared without letter case and blanks around them.
 
 Defined results: documents of other sources, without a source or without tokens are not emitted;
@@ -18,10 +20,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.llm import tokens
 from paperloom.runtime import checkpoint
 
+ALL = -1  # for ``total_tokens``: as many tokens as the documents of the listed sources have
 MAX_SOURCES = 100_000  # rows of the target table that may be broadcast
 
 
@@ -46,12 +50,21 @@ def rates(counted: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     have = counted.filter(F.col("n_tokens") > 0).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("available"))
     both = wanted.join(have, "source", "left").fillna(0, ["n_docs", "available"])
     usable = (F.col("weight") > 0) & (F.col("available") > 0) & (F.col("max_repeats") > 0)
-    fits = both.agg(F.coalesce(F.min(F.when(usable, F.col("max_repeats") * F.col("available") / F.col("weight"))), F.lit(0.0)).alias("total"))
-    if total_tokens is not None:
-        fits = fits.select(F.lit(float(total_tokens)).alias("total"))
-    # one row against the targets, which are few
-    rate = F.when(usable, F.least(F.col("weight") * F.col("total") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return both.join(F.broadcast(fits), F.lit(True)).withColumn("rate", F.round(rate, 9))
+    limit = F.when(usable, F.col("max_repeats") * F.col("available") / F.col("weight"))
+    if total_tokens is None:
+        total = F.coalesce(F.min(limit), F.lit(0.0))
+    else:
+        total = F.coalesce(F.sum(F.when(usable, F.col("available"))), F.lit(0)).cast("double") if total_tokens == ALL else F.lit(float(total_tokens))
+    # the targets are few; of them, in the order in which their caps bind, the first that does not bind sets the level of all that follow
+    in_order = Window.orderBy("limit", "source")
+    capped = F.coalesce(F.sum(F.col("max_repeats") * F.col("available")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum("weight").over(in_order.rowsBetween(0, Window.unboundedFollowing))
+    steps = both.filter(usable).withColumn("limit", limit).withColumns({"capped": capped, "open": open_})
+    one = both.agg(total.alias("total"))
+    level = steps.join(F.broadcast(one), F.lit(True)).withColumn("level", (F.col("total") - F.col("capped")) / F.col("open")).filter(F.col("level") <= F.col("limit")).agg(F.min_by("level", F.struct("limit", "source")).alias("level"))
+    found = one.join(F.broadcast(level), F.lit(True))
+    rate = F.when(usable, F.least(F.coalesce(F.col("weight") * F.col("level") / F.col("available"), F.col("max_repeats").cast("double")), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    return both.join(F.broadcast(found), F.lit(True)).withColumn("rate", F.round(rate, 9)).drop("level")
 
 
 def mixture(counted: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:

@@ -18,6 +18,7 @@ import codecs
 import os
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -66,6 +67,10 @@ class MergeList:
             self._splits[token] = parts[0], parts[1]
         return self._splits[token]
 
+    @cached_property
+    def bound(self) -> int:
+        return self.lookahead()
+
     def lookahead(self) -> int:
         """Bytes after which a token is surely stable: the deepest chain of merges times the longest token."""
         depth: dict[bytes, int] = {}
@@ -127,7 +132,11 @@ class Transducer:
                 if token in ranks and (size == end or m.fits(self.last[end - size - 1], token)):
                     self.last.append(token)
                     break
-        return self._stable() if len(self.window) > 4 * m.longest else []
+        out = self._stable() if len(self.window) > 4 * m.longest else []
+        # the computed lookahead bounds the window; it is computed once, where a window first asks for it
+        if not out and len(self.window) > 8 * m.longest and len(self.window) > m.bound + m.longest + len(data):
+            raise RuntimeError("no token is stable within the lookahead of the merge list")
+        return out
 
     def _chain(self, end: int) -> list[int]:
         """Ends of the tokens of the encoding of the window's first ``end`` bytes."""

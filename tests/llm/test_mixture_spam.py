@@ -29,11 +29,26 @@ def test_total_binds_caps(spark):
     assert len(rows) in (20, 90) and shares["a"].rate in (2.0, 9.0) and shares["a"].reached_share == 1.0
 
 
+def test_what_a_capped_source_leaves_goes_to_the_others(spark):
+    docs = [(i, "big", "word " * 10, None, None) for i in range(2000)] + [(9000 + i, "mid", "word " * 10, None, None) for i in range(300)] + [(8000 + i, "small", "word " * 10, None, None) for i in range(20)]
+    targets = [("big", 0.5, 4, None), ("mid", 0.3, 4, None), ("small", 0.2, 2, None), ("absent", 0.5, 9, None)]
+    _, shares = mixed(spark, docs, targets, total_tokens=M.ALL)
+    have = {k: shares[k].available for k in ("big", "mid", "small")}
+    total = sum(have.values())
+    # small and mid are capped, big fills up
+    assert shares["small"].rate == 2.0 and shares["mid"].rate == pytest.approx(min(4.0, 0.3 * (total - 2 * have["small"]) / 0.8 / have["mid"]))
+    given = sum(shares[k].rate * have[k] for k in have)
+    assert given == pytest.approx(total, rel=1e-6) and shares["absent"].rate == 0
+    assert sum(s.reached_share for s in shares.values()) == pytest.approx(1)
+
+
 def test_empty(spark):
     rows, shares = mixed(spark, [], [("a", 1.0, 2, None)])
     assert rows == [] and shares["a"].reached_share == 0
     rows, shares = mixed(spark, [(1, "a", "x", None, None)], [])
     assert rows == [] and shares == {}
+    rows, shares = mixed(spark, [], [("a", 1.0, 2, None)], total_tokens=M.ALL)
+    assert rows == [] and shares["a"].reached_share == 0
 
 
 PROSE = "The model was tested with people who were in the room, and it is not clear whether they had seen the other one before. "
