@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Stop words of the keyword extraction.
-KEYWORD_STOP_WORDS = tuple(
-    "this that these those with from into during including against throughout despite towards upon concerning through about which their there would could "
-    "should might may will shall must have has had been being were was are is the and for but not you all can her one our out day get him his how its new now old "
-    "see two way who boy did let put say she too use".split()
+KEYWORD_STOP_WORDS = (
+    "this", "that", "these", "those", "with", "from", "into", "during", "including", "against", "throughout", "despite", "towards", "upon", "concerning", "through", "about", "which",
+    "their", "there", "would", "could", "should", "might", "may", "will", "shall", "must", "have", "has", "had", "been", "being", "were", "was", "are", "is", "the", "and", "for", "but",
+    "not", "you", "all", "can", "her", "one", "our", "out", "day", "get", "him", "his", "how", "its", "new", "now", "old", "see", "two", "way", "who", "boy", "did", "let", "put", "say",
+    "she", "too", "use",
 )
 #: Stop words of citation keys.
 KEY_STOP_WORDS = ("a", "an", "the", "on", "in", "of", "for", "to", "and", "with")

@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Common English words that are no features.
-STOP = tuple("the of and a an in to for on with is are was were be been by from that this these those it its as at or not but we our they their which can has have had than then so such into also between".split())
+STOP = (
+    "the", "of", "and", "a", "an", "in", "to", "for", "on", "with", "is", "are", "was", "were", "be", "been", "by", "from", "that", "this", "these", "those", "it", "its", "as", "at", "or",
+    "not", "but", "we", "our", "they", "their", "which", "can", "has", "have", "had", "than", "then", "so", "such", "into", "also", "between",
+)
 
 
-def terms(papers: DataFrame, key: str = "citation_key") -> DataFrame:
-    """(key, term, tf): words of title and abstract and pairs of neighbours, counted per paper."""
+def terms(papers: DataFrame, key: str = "citation_key", stop: tuple[str, ...] = STOP) -> DataFrame:
+    """(key, term, tf): words of title and abstract and pairs of neighbours, counted per paper; ``stop`` takes a longer list."""
     text = F.lower(F.concat_ws(" ", "title", "abstract"))
-    w = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP))
+    w = F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*stop))
     pairs = F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))).otherwise(F.array().cast("array<string>"))
     rows = papers.select(key, w.alias("w")).filter(F.size("w") > 0).select(key, F.explode(F.concat("w", pairs)).alias("term"))
     return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(papers: DataFrame, key: str = "citation_key", max_features: int = 1000, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+def tfidf(papers: DataFrame, key: str = "citation_key", max_features: int = 1000, min_df: int = 2, max_df: float = 0.95, stop: tuple[str, ...] = STOP) -> DataFrame:
     """VE1: (key, term, weight) with idf ln((1+n)/(1+df))+1 and unit length; the vocabulary is of the most frequent terms."""
-    tf = terms(papers, key)
+    tf = terms(papers, key, stop)
     n = tf.agg(F.count_distinct(key).alias("n_docs"))
     vocabulary = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n), F.lit(True))
     fits = (F.col("df") >= F.least(F.lit(min_df), F.greatest(F.col("n_docs") - 1, F.lit(1)))) & (F.col("df") <= max_df * F.col("n_docs"))

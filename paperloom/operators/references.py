@@ -35,7 +35,18 @@ def _bare(c: Column) -> Column:
 def normal_key(c: Column) -> Column:
     """A citation key without blanks and marks around it, in lower case; null for no reference."""
     low = F.lower(F.trim(c))
-    return F.when(c.isNull() | low.isin(*PLACEHOLDERS), None).otherwise(F.nullif(F.lower(_bare(c)), F.lit("")))
+    # keys that are written as they should be, which are most, need no rules
+    spelt = F.when(c.rlike("^[a-z0-9]+$"), c).otherwise(F.nullif(F.lower(_bare(c)), F.lit("")))
+    return F.when(c.isNull() | low.isin(*PLACEHOLDERS), None).otherwise(spelt)
+
+
+def _without_steps_up(path: Column) -> Column:
+    """A path with each '..' taken together with the folder before it, however many there are; those at its beginning stay."""
+    kept = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda done, part: F.when((part == "..") & (F.size(done) > 0) & ~F.coalesce(F.element_at(done, -1), F.lit("..")).isin("..", ""), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part))),
+    )
+    return F.array_join(kept, "/")
 
 
 def normal_path(c: Column, roots: tuple[str, ...] = ("/srv/lit",)) -> Column:
@@ -44,11 +55,12 @@ def normal_path(c: Column, roots: tuple[str, ...] = ("/srv/lit",)) -> Column:
     p = F.regexp_replace(F.translate(low, "\\", "/"), r"^file:(//)?", "")
     p = F.regexp_replace(p, r"/{2,}", "/")
     p = F.regexp_replace(p, r"(^|/)(\./)+", "$1")
-    for _ in range(3):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    p = F.when(p.contains("../"), _without_steps_up(p)).otherwise(p)
     for root in roots:
         p = F.when(F.startswith(p, F.lit(root.lower() + "/")), F.substr(p, F.lit(len(root) + 2))).otherwise(p)
-    return F.when(c.isNull() | low.isin(*PLACEHOLDERS), None).otherwise(F.nullif(p, F.lit("")))
+    # paths that are written as they should be, which are most, need no rules
+    spelt = F.when(c.rlike(r"^[a-z0-9_-][a-z0-9_.-]*(?:/[a-z0-9_-][a-z0-9_.-]*)*$"), c).otherwise(F.nullif(p, F.lit("")))
+    return F.when(c.isNull() | low.isin(*PLACEHOLDERS), None).otherwise(spelt)
 
 
 def reference_rows(progress: DataFrame) -> DataFrame:

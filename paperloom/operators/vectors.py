@@ -206,6 +206,78 @@ def outliers(vectors: DataFrame, key: str, vec: str, method: str = "zscore") ->
     return all_.filter(odd).select(key, F.round("norm", 6).alias("norm"))
 
 
+def similarity_statistics(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFrame:
+    """VE9: number, mean, deviation, bounds and quantiles of the cosines of a stated set of queries with all other rows.
+
+    Cosines are counted in steps of 10^-6 where they are computed, so that at most two million counts a partition travel,
+    however many pairs there are."""
+    out = None
+    for keys, matrix in query_blocks(queries, key, vec):
+        size = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = matrix / np.where(size == 0, 1, size)
+
+        def run(batches: Iterator[pa.RecordBatch], keys=np.array(keys), matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    others = keys[:, None] != np.array(b.column(0).to_pylist())[None, :]
+                    step, n = np.unique(np.rint(np.round(matrix @ unit_rows(b.column(1)).T, 9)[others] * 1e6).astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n.astype(np.int64))], names=["step", "n"])
+
+        part = vectors.select(key, vec).mapInArrow(run, "step bigint, n bigint")
+        out = part if out is None else out.unionByName(part)
+    counts = vectors.sparkSession.createDataFrame([], "step bigint, n bigint") if out is None else out.groupBy("step").agg(F.sum("n").alias("n"))
+    c = counts.select((F.col("step") / 1e6).alias("c"), "n")
+    quantiles = [0.05, 0.25, 0.5, 0.75, 0.95]
+    r = lambda x: F.round(x, 6)
+    mean = F.sum(F.col("c") * F.col("n")) / F.sum("n")
+    got = c.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), r(mean).alias("mean"), r(F.sqrt(F.greatest(F.sum(F.col("c") * F.col("c") * F.col("n")) / F.sum("n") - mean * mean, F.lit(0.0)))).alias("std"),
+        r(F.min("c")).alias("least"), r(F.max("c")).alias("most"), F.percentile("c", quantiles, F.col("n")).alias("q"),
+    )
+    return got.select("n", "mean", "std", "least", "most", *[r(F.col("q")[i]).alias(f"p{round(100 * q)}") for i, q in enumerate(quantiles)])
+
+
+def silhouette(vectors: DataFrame, queries: DataFrame, key: str, vec: str, label: str) -> DataFrame:
+    """VE10: (query, own, silhouette) of a stated set of queries against all rows: how much nearer its own cluster is than
+    the nearest other one, by mean Euclidean distance; 0 for the only one of its cluster.
+
+    Each partition sums the distances of each query to each label, so queries times labels travel."""
+    kind, of = dict(vectors.dtypes)[key], dict(vectors.dtypes)[label]
+    out = None
+    for keys, matrix in query_blocks(queries, key, vec):
+
+        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    v = np.array(b.column(1).to_pylist(), np.float64)
+                    gap = np.sqrt(np.maximum((matrix**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * matrix @ v.T, 0))
+                    gap[np.array(keys)[:, None] == np.array(b.column(0).to_pylist())[None, :]] = 0
+                    names, at = np.unique(np.array(b.column(2).to_pylist()), return_inverse=True)
+                    sums = np.zeros((len(keys), len(names)))
+                    for k in range(len(names)):
+                        sums[:, k] = gap[:, at == k].sum(axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(np.array(keys), len(names)).tolist(), b.column(0).type), pa.array(np.tile(names, len(keys)).tolist(), b.column(2).type), pa.array(sums.reshape(-1))], names=["query", "label", "gap"]
+                    )
+
+        part = vectors.select(key, vec, label).mapInArrow(run, f"query {kind}, label {of}, gap double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], f"query {kind}, own {of}, silhouette double")
+    sizes = vectors.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    own = queries.select(F.col(key).alias("query"), F.col(label).alias("own"))
+    far = out.groupBy("query", "label").agg(F.sum("gap").alias("gap")).join(sizes, "label").join(own, "query")
+    mine = F.max(F.when(F.col("label") == F.col("own"), F.col("n")))
+    near = far.groupBy("query", "own").agg(mine.alias("n"), F.max(F.when(F.col("label") == F.col("own"), F.col("gap") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(F.col("label") != F.col("own"), F.col("gap") / F.col("n"))).alias("b"))
+    value = F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return near.select("query", "own", value.alias("silhouette"))
+
+
+def dimension_medians(vectors: DataFrame, vec: str, accuracy: int = 100_000) -> DataFrame:
+    """VE8: median of each dimension, exact while it has fewer values than ``accuracy``, by a bounded sketch beyond."""
+    return vectors.select(F.posexplode(doubles(F.col(vec))).alias("dim", "x")).groupBy("dim").agg(F.percentile_approx("x", 0.5, accuracy).alias("median"))
+
+
 def cluster_metrics(vectors: DataFrame, label: str, vec: str) -> DataFrame:
     """VE10: inertia, Calinski-Harabasz and Davies-Bouldin of given labels, from grouped centroids."""
     long = vectors.select(label, F.monotonically_increasing_id().alias("id"), F.posexplode(doubles(F.col(vec))).alias("dim", "x"))

@@ -235,3 +235,26 @@ def jn19_edges(s, d):
     e = table(s, d, "embeddings")
     got = vec.links(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 0.3)
     return got.select("query", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+@query("ve8_medians", "select dim, round(quantile_disc(x, 0.5), 6) as median from (select unnest(range(len(embedding)))::int as dim, unnest(embedding::double[]) as x from embeddings) group by dim")
+def ve8_medians(s, d):
+    """VE8."""
+    return vec.dimension_medians(table(s, d, "embeddings"), "embedding").withColumn("median", F.round("median", 6))
+
+
+@query("ve10_silhouette", """with e as (select vec_id, vec_id % 5 as label, embedding::double[] as v from embeddings), g as (select q.vec_id as query, q.label as own, e.label, sum(list_distance(q.v, e.v)) as gap, count(*) as n from e q join e on q.vec_id % 50 = 0 group by 1, 2, 3),
+s as (select query, own, max(case when own = label then gap / greatest(n - 1, 1) end) as a, min(case when own <> label then gap / n end) as b, max(case when own = label then n end) as n from g group by 1, 2)
+select query, own, round(case when n > 1 then (b - a) / greatest(a, b) else 0 end, 6) as silhouette from s""")
+def ve10_silhouette(s, d):
+    """VE10: silhouettes of the vectors whose id is divisible by 50 against all, for given clusters."""
+    e = table(s, d, "embeddings").withColumn("label", F.col("vec_id") % 5)
+    return vec.silhouette(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", "label").withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("ve10_sizes", "select vec_id % 5 as label, count(*) as n, round(count(*) / sum(count(*)) over (), 9) as share from embeddings group by 1")
+def ve10_sizes(s, d):
+    """VE10, PL14: sizes of given clusters."""
+    sizes = table(s, d, "embeddings").groupBy((F.col("vec_id") % 5).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    return sizes.join(F.broadcast(total), F.lit(True)).select("label", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +16,7 @@ from paperloom.operators import features, ordered, resolve
 from paperloom.operators import vectors as vec
 from paperloom.plans import jobs
 from paperloom.plans.text_queries import NT, WORDS
-from paperloom.runtime import table
+from paperloom.runtime import shared_folder, table
 from paperloom.sources import payloads, sinks
 from paperloom.streaming import streams
 
@@ -159,7 +159,11 @@ def vd18_tone(s, d):
 def tx1_sections(s, d):
     """TX1, TX2, TX7, TX8, TX10, TX11: sections and title lines of the long texts."""
     rows = table(s, d, "corpus").dropDuplicates(["pos"]).filter("text is not null")
-    one = lambda t: (structure.title_line(t), list(structure.sections(t)), [e - b for b, e in structure.sections(t).values()], max(1, len(t.split()) // 500))
+
+    def one(t):
+        got = structure.sections(t)
+        return structure.title_line(t), list(got), [e - b for b, e in got.values()], max(1, len(t.split()) // 500)
+
     return per_row(rows, ["pos", "citation_key"], ["text"], one, "title_line string, names array<string>, sizes array<int>, pages int")
 
 
@@ -167,7 +171,11 @@ def tx1_sections(s, d):
 def tx4_chunks(s, d):
     """TX3-TX6: chunks of the long texts by section and by tokens."""
     rows = table(s, d, "corpus").dropDuplicates(["pos"]).filter("text is not null")
-    one = lambda t: ([n for n, _, _ in structure.chunks(t)], [b for _, b, _ in structure.chunks(t)], [e for _, _, e in structure.chunks(t)], len(structure.token_chunks(t)))
+
+    def one(t):
+        names, starts, ends = zip(*structure.chunks(t), strict=True)
+        return list(names), list(starts), list(ends), len(structure.token_chunks(t))
+
     got = per_row(rows, ["pos"], ["text"], one, "names array<string>, starts array<int>, ends array<int>, n_token_chunks int")
     return got.select("pos", "n_token_chunks", F.posexplode(F.arrays_zip("names", "starts", "ends")).alias("chunk_no", "c")).select("pos", "chunk_no", F.col("c.names").alias("section"), F.col("c.starts").alias("start_at"), F.col("c.ends").alias("end_at"), "n_token_chunks")
 
@@ -217,7 +225,7 @@ def st27_texts(s, d):
 @query("ve4_clusters")
 def ve4_clusters(s, d):
     """VE4, PL11: sizes of five k-means clusters of the vectors."""
-    got = features.clustered(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", 5, runs=2)
+    got = features.clustered(table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", 5)
     return got.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -294,29 +302,24 @@ def _stream(s, d, name: str, columns: list[str]) -> DataFrame:
 
 
 def _checkpoint_folder(s) -> str:
-    named = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="paperloom-")
-    import uuid
-
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, for the state and result of a stream."""
+    return f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
 
 
 @query("sm5_hourly", "select date_trunc('hour', ts) as hour, count(*) as n, round(avg(value), 6) as mean_value from events group by 1")
 def sm5_hourly(s, d):
     """SM5, SM7, SM8: events per hour from a stream, in complete mode so that no hour waits for the watermark."""
     e = _stream(s, d, "events", ["ts", "value"]).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "hourly_" + _checkpoint_folder(s)[-12:]
-    streams.run_available(streams.hourly(e, "ts", "value"), name, "complete", _checkpoint_folder(s))
-    return s.table(name).select("hour", "n", F.round("mean_value", 6).alias("mean_value"))
+    folder = _checkpoint_folder(s)
+    return streams.run_complete(streams.hourly(e, "ts", "value"), folder + "-out", folder).select("hour", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
 @query("sm4_latest", "select citation_key, arg_max(status, (logged_at, entry_id)) as status, count(*) as n_states from progress group by citation_key")
 def sm4_latest(s, d):
     """SM4: the running state of each key from a stream."""
     p = _stream(s, d, "progress", ["citation_key", "status", "logged_at", "entry_id"])
-    name = "latest_" + _checkpoint_folder(s)[-12:]
-    streams.run_available(streams.latest_status(p, "citation_key", "logged_at"), name, "complete", _checkpoint_folder(s))
-    return s.table(name)
+    folder = _checkpoint_folder(s)
+    return streams.run_complete(streams.latest_status(p, "citation_key", "logged_at"), folder + "-out", folder)
 
 
 @query("sm9_dedup")
@@ -332,9 +335,8 @@ def sm9_dedup(s, d):
 def sm1_chunks(s, d):
     """SM1-SM3: running sizes per key from a stream."""
     p = _stream(s, d, "progress", ["citation_key", "pdf_path", "logged_at"])
-    name = "chunks_" + _checkpoint_folder(s)[-12:]
-    streams.run_available(streams.chunk_metrics(p, "citation_key", "pdf_path", "logged_at"), name, "complete", _checkpoint_folder(s))
-    return s.table(name).select("citation_key", "n_chunks", "n_chars")
+    folder = _checkpoint_folder(s)
+    return streams.run_complete(streams.chunk_metrics(p, "citation_key", "pdf_path", "logged_at"), folder + "-out", folder).select("citation_key", "n_chunks", "n_chars")
 
 
 @query("wn3_cumulative", "with y as (select year, count(*) as n from library where year <> 0 group by year) select year, n, row_number() over (order by year) as position, round(sum(n) over (order by year) / sum(n) over (), 9) as cumulative from y")

@@ -116,7 +116,9 @@ def st10_topics(s, d):
 @query("st18_domains")
 def st18_domains(s, d):
     """ST18, ST19: domain and type of each paper with the instructions for it."""
-    got = table(s, d, "library").select("citation_key", men.detect_domain(F.lit(""), F.col("title"), F.col("abstract")).alias("d"))
+    texts = table(s, d, "corpus").groupBy("citation_key").agg(F.max("text").alias("text"))
+    papers = table(s, d, "library").select("citation_key", "title", "abstract").join(texts, "citation_key", "left")
+    got = papers.select("citation_key", men.detect_domain(F.col("text"), F.col("title"), F.col("abstract")).alias("d"))
     return got.select("citation_key", "d.domain", F.round("d.confidence", 6).alias("confidence"), "d.paper_type", F.round("d.type_confidence", 6).alias("type_confidence"), men.domain_instructions(F.col("d.domain")).alias("instructions"))
 
 
@@ -348,14 +350,14 @@ def jn19_links(s, d):
     return vec.links(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding", 0.5).select("query", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
-@query("ve9_similarity", f"select count(*) as n, round(avg(c), 6) as mean, round(quantile_cont(c, 0.5), 6) as median, round(stddev_pop(c), 6) as std, round(min(c), 6) as least, round(max(c), 6) as most, round(quantile_cont(c, 0.05), 6) as p5, round(quantile_cont(c, 0.95), 6) as p95 from (select list_cosine_similarity(q.v, e.v) as c from (select * from {EMB} where vec_id % 50 = 0) q join {EMB} e on q.vec_id <> e.vec_id)")
+_QUARTILES = ", ".join(f"round(quantile_cont(c, {q}), 6) as p{round(100 * q)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
+
+
+@query("ve9_similarity", f"select count(*) as n, round(avg(c), 6) as mean, round(stddev_pop(c), 6) as std, round(min(c), 6) as least, round(max(c), 6) as most, {_QUARTILES} from (select round(list_cosine_similarity(q.v, e.v), 6) as c from (select * from {EMB} where vec_id % 50 = 0) q join {EMB} e on q.vec_id <> e.vec_id)")
 def ve9_similarity(s, d):
     """VE9: similarities of the stated queries with all others; the queries are a fiftieth of the rows."""
     e = table(s, d, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    c = e.join(q, F.col("vec_id") != F.col("q")).select(vec.cosine(F.col("embedding"), F.col("v")).alias("c"))
-    r = lambda x: F.round(x, 6)
-    return c.agg(F.count(F.lit(1)).alias("n"), r(F.avg("c")).alias("mean"), r(F.percentile("c", F.lit(0.5))).alias("median"), r(F.stddev_pop("c")).alias("std"), r(F.min("c")).alias("least"), r(F.max("c")).alias("most"), r(F.percentile("c", F.lit(0.05))).alias("p5"), r(F.percentile("c", F.lit(0.95))).alias("p95"))
+    return vec.similarity_statistics(e, e.filter("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
 @query("ve16_checks", f"select count(*) as n, 0::bigint as out_of_range, 0::bigint as bad_diagonal, 0::bigint as asymmetric, round(avg(list_cosine_similarity(q.v, e.v)) filter (q.vec_id <> e.vec_id), 6) as mean_off_diagonal from (select * from {EMB} where vec_id % 50 = 0) q, (select * from {EMB} where vec_id % 50 = 0) e")

@@ -13,30 +13,37 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FOLDERS: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only on one machine, as in tests, a temporary one where the session names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    if sc.applicationId not in _FOLDERS:
+        _FOLDERS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+    return _FOLDERS[sc.applicationId]
+
 
-    Only where the session names none (tests on one machine) a temporary folder is set."""
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the shared folder; copies that nothing refers to any more are removed."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="paperloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    if sc.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints") is None:
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
-def cogrouped(a: DataFrame, b: DataFrame, key: str):
-    """Both sides grouped together by ``key``, in as many tasks as a shuffle has: what the groups cost in
-    computing does not show in their bytes, by which adaptive execution would join them to few tasks."""
-    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return a.repartition(n, key).groupBy(key).cogroup(b.repartition(n, key).groupBy(key))
-
-
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a table has at most ``max_rows`` rows; reads no more than that many and one."""
     return len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows

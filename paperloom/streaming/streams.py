@@ -66,10 +66,19 @@ def dedup_since_last_kept(log: DataFrame, key: str, seconds: float = 1.0) -> Dat
     return log.select(key, "event_id", "t").groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, event_id bigint, t double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """SM6-SM8: all that is there now into the in-memory table ``name``; a second run goes on from the checkpoint."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """SM6-SM8: the whole result of all that is there now, written anew to a folder with each batch; goes on from the checkpoint."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    spark = stream.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:

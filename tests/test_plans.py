@@ -88,8 +88,8 @@ def test_hourly_watermark(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1, 0, 10), 1.0), (dt.datetime(2024, 1, 1, 0, 50), 3.0), (dt.datetime(2024, 1, 1, 5, 0), 5.0)]
     spark.createDataFrame(rows, "ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("ts timestamp, value double").parquet(str(tmp_path / "in"))
-    streams.run_available(streams.hourly(s, "ts", "value"), "t_hourly", "complete", str(tmp_path / "c"))
-    assert sorted((r.hour.hour, r.n, r.mean_value) for r in spark.table("t_hourly").collect()) == [(0, 2, 2.0), (5, 1, 5.0)]
+    got = streams.run_complete(streams.hourly(s, "ts", "value"), str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted((r.hour.hour, r.n, r.mean_value) for r in got.collect()) == [(0, 2, 2.0), (5, 1, 5.0)]
 
 
 def test_without_llm(monkeypatch):

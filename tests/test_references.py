@@ -22,14 +22,15 @@ def test_times_spellings_and_holes(spark):
     rows = [
         (1, " @Smith2020DEEP\t", "./data//pdfs/smith2020deep.PDF", None, T(2024, 3, 10, 12), "extra"),
         (2, "smith2020deep", "file:///srv/lit/data/pdfs/smith2020deep.pdf", "data/summaries/a_summary.md", T(2024, 3, 10, 11, 59, 59), None),
-        (3, "doe2021old", "literature/../data/pdfs/smith2020deep.pdf", "data\\summaries\\a_summary.md", T(2024, 1, 15), None),
+        (3, "doe2021old", "papers/../data/pdfs/smith2020deep.pdf", "data\\summaries\\a_summary.md", T(2024, 1, 15), None),
         (4, "doe2021old", "data/pdfs/smith2020deep.pdf.part", "n/a", T(2024, 3, 10, 12), None),
         (5, None, "  ", "None", T(2024, 3, 1), None),
         (6, "nobody", "data/t.txt", "data/summaries/a_summary.md", None, None),
         (7, "smith2020deep", None, None, None, None),
+        (8, None, "a/b/c/d/e/../../.././../../data/pdfs/x/../smith2020deep.pdf", "a/../../data/summaries/a_summary.md", T(2024, 1, 15), None),
         (4, "doe2021old", "data/pdfs/smith2020deep.pdf.part", "n/a", T(2024, 3, 10, 12), None),
     ]
-    assert found(spark, rows, library, artifacts) == [(2, "citation_key"), (2, "summary_path"), (4, "citation_key"), (4, "pdf_path"), (6, "citation_key"), (6, "pdf_path")]
+    assert found(spark, rows, library, artifacts) == [(2, "citation_key"), (2, "summary_path"), (4, "citation_key"), (4, "pdf_path"), (6, "citation_key"), (6, "pdf_path"), (8, "summary_path")]
 
 
 def test_empty_tables(spark):

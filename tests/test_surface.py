@@ -41,10 +41,10 @@ def test_sessions_and_deliveries(spark, tmp_path):
     rows = [(1, "a", at(0)), (2, "a", at(10)), (3, "a", at(90)), (1, "a", at(1)), (4, "b", at(5)), (9, "z", at(600))]
     spark.createDataFrame(rows, "entry_id bigint, k string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("entry_id bigint, k string, ts timestamp").parquet(str(tmp_path / "in"))
-    streams.run_available(streams.sessions(stream(), "ts", "k"), "t_sessions", "append", str(tmp_path / "c1"))
-    assert sorted((r.k, r.n) for r in spark.table("t_sessions").collect()) == [("a", 1), ("a", 3), ("b", 1)]
-    streams.run_available(streams.deliveries_once(stream(), "entry_id", "ts"), "t_once", "append", str(tmp_path / "c2"))
-    assert sorted(r.entry_id for r in spark.table("t_once").collect()) == [1, 2, 3, 4, 9]
+    streams.run_to_parquet(streams.sessions(stream(), "ts", "k"), str(tmp_path / "o1"), str(tmp_path / "c1"))
+    assert sorted((r.k, r.n) for r in spark.read.parquet(str(tmp_path / "o1")).collect()) == [("a", 1), ("a", 3), ("b", 1)]
+    streams.run_to_parquet(streams.deliveries_once(stream(), "entry_id", "ts"), str(tmp_path / "o2"), str(tmp_path / "c2"))
+    assert sorted(r.entry_id for r in spark.read.parquet(str(tmp_path / "o2")).collect()) == [1, 2, 3, 4, 9]
 
 
 def test_ordered_rules(spark):
