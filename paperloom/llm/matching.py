@@ -37,7 +37,7 @@ YEAR_OFF = -2.5
 SAME_SOURCE = 0.7  # log-odds that a further hit of the same source costs
 HARD = 30.0
 SMALL = frozenset("a an the of in on for and to with under from".split())
-ASKED = 4  # rarest words of a hit's title that are looked up together
+ASKED = 2  # rarest words of a hit's title that are looked up together; the others are checked behind the look-up
 
 
 def title_words(title: str | None) -> tuple[list[str], int, bool]:
@@ -92,10 +92,12 @@ def near(a: str, b: str) -> int:
 
 
 def title_score(a: tuple[list[str], int, bool], b: tuple[list[str], int, bool]) -> float:
-    """Log-odds of two titles: a the summary's, b the hit's."""
+    """Log-odds of two titles: a the summary's, b the hit's; a hit's title of small words only has to be equal."""
     (wa, ma, ca), (wb, mb, cb) = a, b
     if not wa or not wb:
         return WORD_OFF
+    if not bound_words(wb, mb, cb):
+        return TITLE_SAME if wa == wb else WORD_OFF
     base = TITLE_SAME
     if wa != wb:
         if cb and len(wb) < len(wa) + 1 and len(wb) > 3:
@@ -200,12 +202,6 @@ def bound_words(words: list[str], main: int, cut: bool) -> list[int]:
     return [j for j in range(end) if words[j] not in SMALL]
 
 
-def all_small(words: list[str], main: int) -> bool:
-    """Whether a summary's title may align with one of small words only."""
-    two = {a + b for a in SMALL for b in SMALL}
-    return all(w in SMALL or w in two or any(near(w, x) < 9 for x in SMALL) for w in words[: min(3, main or len(words))])
-
-
 def near_words(hit: DataFrame, summary: DataFrame) -> DataFrame:
     """(hw, sw): words of hits with the summaries' words that align with them; splits of a word by their first part."""
 
@@ -231,7 +227,9 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
     A word of more weight than SMALL without counterpart costs what authors and year can give at most, so each
     bound word of the hit has one among the summary's words: an equal or misspelt one, one it was joined from
-    or is part of. The ASKED with the fewest summaries behind them are looked up together."""
+    or is part of. The ASKED with the fewest summaries behind them are looked up together; the rest are checked
+    on bits that the words' hashes set, which a pair that has them always passes. Titles without bound words are
+    looked up as a whole."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,15 +240,12 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
             cols = [[r[i] for r in rows] for i in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))], names=["h", "j", "hw", "joined"])
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([all_small(w, m) for w, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.bool_())).select([0])
-
     def keyed(keys_of, ident: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(i, k) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in keys_of(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=[ident, "key"])
+                rows = [(i, k) for i, x in enumerate(b.column(1).to_pylist()) for k in keys_of(x)]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([r[1] for r in rows], pa.string()), b.column(2).take(at)], names=[ident, "key", "bits"])
 
         return run
 
@@ -261,16 +256,19 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     variants = variants.unionByName(places.select("h", "j", F.explode("joined").alias("sw"))).distinct().join(vocabulary, "sw")
     found = places.filter("j >= 0").select("h", "j").join(variants.groupBy("h", "j").agg(F.sum("n").alias("n"), F.collect_set("sw").alias("sw")), ["h", "j"], "left")
     row = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", F.coalesce("sw", F.array().cast("array<string>")).alias("sw"))
-    top = checkpoint(found.groupBy("h").agg(F.slice(F.array_sort(F.collect_list(row)), 1, ASKED)["sw"].alias("words")))
-    asked = top.mapInArrow(keyed(lambda places: {" ".join(sorted(set(x))) for x in product(*places)}, "h"), "h bigint, key string")
+    bits = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
+    every = F.array_sort(F.collect_list(row))["sw"]
+    top = checkpoint(found.groupBy("h").agg(every.alias("places")).select("h", F.slice("places", 1, ASKED).alias("words"), F.transform("places", bits).alias("bits")))
+    asked = top.mapInArrow(keyed(lambda places: {" ".join(sorted(set(x))) for x in product(*places)}, "h"), "h bigint, key string, bits array<bigint>")
     # words that no hit asks for need no keys
     used = top.select(F.explode(F.flatten("words")).alias("sw")).distinct()
-    words = left.select(F.col("class").alias("s"), F.explode(F.array_distinct("words")).alias("sw")).join(used, "sw").groupBy("s").agg(F.array_sort(F.collect_list("sw")).alias("words"))
-    given = words.mapInArrow(keyed(lambda w: {" ".join(x) for k in range(1, ASKED + 1) for x in combinations(w, k)}, "s"), "s bigint, key string")
-    hashed = lambda df, ident: df.select(ident, F.xxhash64("key").alias("key"))
-    rest = left.select("class", "words", "main").mapInArrow(small, "class bigint").select(F.col("class").alias("s"), F.lit(1).alias("_x"))
-    odd = places.filter("j < 0").select("h", F.lit(1).alias("_x")).join(rest, "_x").select("s", "h")
-    return hashed(asked, "h").join(hashed(given, "s"), "key").select("s", "h").unionByName(odd).distinct()
+    words = left.select(F.col("class").alias("s"), bits(F.col("words")).alias("bits"), F.explode(F.array_distinct("words")).alias("sw")).join(used, "sw").groupBy("s", "bits").agg(F.array_sort(F.collect_list("sw")).alias("words"))
+    given = words.select("s", "words", "bits").mapInArrow(keyed(lambda w: {" ".join(x) for k in range(1, ASKED + 1) for x in combinations(w, k)}, "s"), "s bigint, key string, bits bigint")
+    hashed = lambda df, ident, name: df.select(ident, F.xxhash64("key").alias("key"), F.col("bits").alias(name))
+    found = hashed(asked, "h", "hb").join(hashed(given, "s", "sb"), "key").filter(F.forall("hb", lambda b: b.bitwiseAND(F.col("sb")) != 0)).select("s", "h")
+    title = F.array_join("words", " ")
+    whole = left.select(F.col("class").alias("s"), title.alias("title")).join(places.filter("j < 0").select("h").join(right.select(F.col("class").alias("h"), title.alias("title")), "h"), "title").select("s", "h")
+    return found.unionByName(whole).distinct()
 
 
 def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
