@@ -163,3 +163,10 @@ def recent_additions(library: DataFrame, n: int = 5) -> DataFrame:
     """SR2: the latest entries with their titles cut to 60 characters."""
     cut = F.when(F.length("title") > 60, F.concat(F.left("title", F.lit(60)), F.lit("..."))).otherwise(F.col("title"))
     return library.orderBy(F.col("added_date").desc(), "citation_key").limit(n).select("citation_key", cut.alias("title"), "year", "added_date")
+
+
+def top_keywords(library: DataFrame, n: int) -> DataFrame:
+    """AG41, SR4: the ``n`` most frequent keywords with their rank, equal ones by name."""
+    best = keyword_counts(library).orderBy(F.col("n").desc(), "keyword").limit(n)
+    # n rows
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "keyword")))

@@ -206,11 +206,10 @@ def outliers(vectors: DataFrame, key: str, vec: str, method: str = "zscore") ->
     return all_.filter(odd).select(key, F.round("norm", 6).alias("norm"))
 
 
-def similarity_statistics(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFrame:
-    """VE9: number, mean, deviation, bounds and quantiles of the cosines of a stated set of queries with all other rows.
+def cosine_counts(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFrame:
+    """(c, n): how often each cosine, in steps of 10^-6, occurs between a stated set of queries and all other rows.
 
-    Cosines are counted in steps of 10^-6 where they are computed, so that at most two million counts a partition travel,
-    however many pairs there are."""
+    Counted where they are computed, so that at most two million counts a partition travel, however many pairs there are."""
     out = None
     for keys, matrix in query_blocks(queries, key, vec):
         size = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -226,7 +225,18 @@ def similarity_statistics(vectors: DataFrame, queries: DataFrame, key: str, vec:
         part = vectors.select(key, vec).mapInArrow(run, "step bigint, n bigint")
         out = part if out is None else out.unionByName(part)
     counts = vectors.sparkSession.createDataFrame([], "step bigint, n bigint") if out is None else out.groupBy("step").agg(F.sum("n").alias("n"))
-    c = counts.select((F.col("step") / 1e6).alias("c"), "n")
+    return counts.select((F.col("step") / 1e6).alias("c"), "n")
+
+
+def similarity_histogram(vectors: DataFrame, queries: DataFrame, key: str, vec: str, bins: int = 10) -> DataFrame:
+    """PL10: (bin, n) of the cosines from -1 to 1, input of heat maps and distributions."""
+    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("c") + 1) * bins / 2))).cast("int")
+    return cosine_counts(vectors, queries, key, vec).groupBy(at.alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def similarity_statistics(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFrame:
+    """VE9: number, mean, deviation, bounds and quantiles of the cosines of a stated set of queries with all other rows."""
+    c = cosine_counts(vectors, queries, key, vec)
     quantiles = [0.05, 0.25, 0.5, 0.75, 0.95]
     r = lambda x: F.round(x, 6)
     mean = F.sum(F.col("c") * F.col("n")) / F.sum("n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.operators import references
-from paperloom.plans import check_queries, library_queries, other_queries, payload_queries, text_queries
+from paperloom.plans import check_queries, library_queries, more_queries, other_queries, payload_queries, text_queries
 from paperloom.runtime import table
 
 QUERIES: dict = {}
@@ -66,6 +66,6 @@ left join (select ref_field, cast(date_trunc('month', t) as date) as month, coun
 using (ref_field, month)""",
 }
 
-for part in (library_queries, text_queries, other_queries, payload_queries, check_queries):
+for part in (library_queries, text_queries, other_queries, payload_queries, check_queries, more_queries):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
