@@ -206,6 +206,34 @@ def outliers(vectors: DataFrame, key: str, vec: str, method: str = "zscore") ->
     return all_.filter(odd).select(key, F.round("norm", 6).alias("norm"))
 
 
+def query_checks(vectors: DataFrame, queries: DataFrame, key: str, vec: str, slack: float = 1e-9) -> DataFrame:
+    """VE16: the similarities of a stated set of queries with all rows: values out of range (NaN among them), rows whose own
+    similarity is not 1 (0 for zero vectors), values unlike their mirror, and the mean off the diagonal."""
+    names = ["n", "out_of_range", "bad_diagonal", "asymmetric", "off_sum", "off_n"]
+    out = None
+    for at, (keys, matrix) in enumerate(query_blocks(queries, key, vec)):
+        size = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = matrix / np.where(size == 0, 1, size)
+
+        def run(batches: Iterator[pa.RecordBatch], keys=np.array(keys), matrix=matrix, first=at == 0) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    v = unit_rows(b.column(1))
+                    here, mirror = matrix @ v.T, v @ matrix.T
+                    other = keys[:, None] != np.array(b.column(0).to_pylist())[None, :]
+                    own = (v * v).sum(axis=1)
+                    bad = int((~(np.abs(own - 1) <= slack) & (own != 0)).sum()) if first else 0
+                    row = [here.size, int((~(np.abs(here) <= 1 + slack)).sum()), bad, int((np.abs(here - mirror.T) > slack).sum()), float(here[other].sum()), int(other.sum())]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
+
+        part = vectors.select(key, vec).mapInArrow(run, "n bigint, out_of_range bigint, bad_diagonal bigint, asymmetric bigint, off_sum double, off_n bigint")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], "n bigint, out_of_range bigint, bad_diagonal bigint, asymmetric bigint, off_sum double, off_n bigint")
+    total = out.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return total.select(*names[:4], F.round(F.col("off_sum") / F.nullif("off_n", F.lit(0)), 6).alias("mean_off_diagonal"))
+
+
 def cosine_counts(vectors: DataFrame, queries: DataFrame, key: str, vec: str) -> DataFrame:
     """(c, n): how often each cosine, in steps of 10^-6, occurs between a stated set of queries and all other rows.
 

@@ -181,3 +181,27 @@ def test_checks_read_all_vectors(spark, tmp_path):
     r = catalog.QUERIES["ve16_all"](spark, str(tmp_path)).collect()[0]
     assert (r.n, r.not_finite, r.out_of_range, r.bad_diagonal, r.asymmetric, r.damaged) == (16, 7, 7, 1, 7, 3)
     assert r.mean_off_diagonal == pytest.approx(2 * 0.5**0.5 / 6, abs=1e-6)
+
+
+def test_checks_of_similarities_see_all_rows(spark):
+    from paperloom.operators import vectors as vec
+
+    rows = [(i, [1.0, float(i % 7), 0.5]) for i in range(200)] + [(1000, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<double>")
+    got = vec.query_checks(df, df.filter("vec_id % 50 = 0"), "vec_id", "v").collect()[0]
+    assert (got.n, got.out_of_range, got.bad_diagonal, got.asymmetric) == (5 * 201, 0, 0, 0)
+    broken = df.unionByName(spark.createDataFrame([(2001, [float("nan"), 1.0, 0.0])], df.schema))
+    got = vec.query_checks(broken, broken.filter("vec_id % 50 = 0"), "vec_id", "v").collect()[0]
+    assert got.out_of_range == 5 and got.bad_diagonal == 1
+    assert vec.query_checks(df, df.limit(0), "vec_id", "v").collect()[0].n == 0 and vec.similarity_statistics(df, df.limit(0), "vec_id", "v").collect()[0].n == 0
+
+
+def test_links_beyond_a_hundred(spark):
+    from paperloom.operators import vectors as vec
+
+    rows = [(i, [1.0, i / 1e4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<double>")
+    assert vec.links(df, df.filter("vec_id = 0"), "vec_id", "v", 0.9).count() == 299
+    got = vec.nearest(df, df.filter("vec_id % 150 = 0"), "vec_id", "v", 7).collect()
+    assert sorted((r.query, r.rank, r.neighbour) for r in got if r.query == 0) == [(0, i, i) for i in range(1, 8)] and len(got) == 14
+    assert vec.nearest(df, df.limit(0), "vec_id", "v", 7).count() == 0 and vec.silhouette(df, df.limit(0), "vec_id", "v", "vec_id").count() == 0
