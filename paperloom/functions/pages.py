@@ -5,24 +5,116 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from typing import NamedTuple
 from urllib.parse import urljoin
 
-#: Per publisher the hosts, patterns of ids with the addresses built from them, and patterns of links.
-RULES = (
-    ("osf", ("osf.io", "10.31234", "10.31219"), ((r"osf\.io/([a-z0-9_]+)", ("https://osf.io/{0}/download",)),), (r"href=[\"']([^\"']*download[^\"']*)[\"']", r"href=[\"']([^\"']*\.pdf[^\"']*)[\"']", r"data-download-url=[\"']([^\"']*)[\"']")),
-    ("elsevier", ("sciencedirect.com", "elsevier.com"), ((r"pii[\"']?\s*[:=]\s*[\"']([A-Z0-9]+)[\"']", ("https://www.sciencedirect.com/science/article/pii/{0}/pdfft?isDTMRedir=true&download=true",)), (r"sciencedirect\.com/science/article/pii/([A-Z0-9]+)", ("https://www.sciencedirect.com/science/article/pii/{0}/pdfft?isDTMRedir=true&download=true",)), (r"data-pii=[\"']([A-Z0-9]+)[\"']", ("https://www.sciencedirect.com/science/article/pii/{0}/pdfft?isDTMRedir=true&download=true",))), (r"href=[\"']([^\"']*(?:sciencedirect|elsevier)[^\"']*\.pdf[^\"']*)[\"']", r"data-pdf-url=[\"']([^\"']*)[\"']", r"data-download-url=[\"']([^\"']*)[\"']")),
-    ("springer", ("springer.com", "nature.com"), ((r"doi[\"']?\s*[:=]\s*[\"'](10\.\d+/[^\"']+)[\"']", ("https://link.springer.com/content/pdf/{0}.pdf",)), (r"data-doi=[\"'](10\.\d+/[^\"']+)[\"']", ("https://link.springer.com/content/pdf/{0}.pdf",)), (r"link\.springer\.com/article/(10\.\d+/[^/\"'\s]+)", ("https://link.springer.com/content/pdf/{0}.pdf",))), (r"data-pdf-url=[\"']([^\"']*)[\"']", r"pdfDownloadUrl[\"']?\s*[:=]\s*[\"']([^\"']*)[\"']", r"href=[\"']([^\"']*springer[^\"']*pdf[^\"']*)[\"']")),
-    ("ieee", ("ieee.org",), ((r"arnumber[\"']?\s*[:=]\s*[\"']?([0-9]+)[\"']?", ("https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?arnumber={0}", "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber={0}")), (r"ieee\.org/document/([0-9]+)", ("https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?arnumber={0}", "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber={0}"))), (r"pdfUrl[\"']?\s*[:=]\s*[\"']([^\"']*ieee[^\"']*\.pdf[^\"']*)[\"']", r"href=[\"']([^\"']*ieeexplore[^\"']*pdf[^\"']*)[\"']")),
-    ("acm", ("acm.org",), ((r"acm\.org/doi/(?:pdf/|abs/)?(10\.\d+/[0-9.]+)", ("https://dl.acm.org/doi/pdf/{0}",)),), (r"href=[\"']([^\"']*acm[^\"']*pdf[^\"']*)[\"']", r"data-pdf-url=[\"']([^\"']*)[\"']")),
-    ("wiley", ("wiley.com",), ((r"onlinelibrary\.wiley\.com/doi/(?:abs/|full/)?(10\.\d+/[^/\"'\s]+)", ("https://onlinelibrary.wiley.com/doi/pdfdirect/{0}",)), (r"data-doi=[\"'](10\.\d+/[^\"']+)[\"']", ("https://onlinelibrary.wiley.com/doi/pdfdirect/{0}",))), (r"href=[\"']([^\"']*wiley[^\"']*pdf[^\"']*)[\"']", r"data-pdf-url=[\"']([^\"']*)[\"']")),
-)
+class Publisher(NamedTuple):
+    """Rules of one publisher: parts of its addresses, patterns of ids with the addresses made from them, patterns of links.
+
+    A further one is added with ``PUBLISHERS.insert``; the first whose hosts fit is used."""
+
+    name: str
+    hosts: tuple[str, ...]
+    ids: tuple[tuple[str, tuple[str, ...]], ...]
+    links: tuple[str, ...]
+
+
+#: The publishers' rules.
+PUBLISHERS = [
+    Publisher(
+        "osf",
+        ("osf.io", "10.31234", "10.31219"),
+        (
+            (r"osf\.io/([a-z0-9_]+)", ("https://osf.io/{0}/download",)),
+        ),
+        (
+            r"href=[\"']([^\"']*download[^\"']*)[\"']",
+            r"href=[\"']([^\"']*\.pdf[^\"']*)[\"']",
+            r"data-download-url=[\"']([^\"']*)[\"']",
+        ),
+    ),
+    Publisher(
+        "elsevier",
+        ("sciencedirect.com", "elsevier.com"),
+        (
+            (r"pii[\"']?\s*[:=]\s*[\"']([A-Z0-9]+)[\"']", ("https://www.sciencedirect.com/science/article/pii/{0}/pdfft?isDTMRedir=true&download=true",)),
+            (r"sciencedirect\.com/science/article/pii/([A-Z0-9]+)", ("https://www.sciencedirect.com/science/article/pii/{0}/pdfft?isDTMRedir=true&download=true",)),
+            (r"data-pii=[\"']([A-Z0-9]+)[\"']", ("https://www.sciencedirect.com/science/article/pii/{0}/pdfft?isDTMRedir=true&download=true",)),
+            (r"\"pii\":\"([A-Z0-9]+)\"", ("https://www.sciencedirect.com/science/article/pii/{0}/pdfft?isDTMRedir=true&download=true",)),
+        ),
+        (
+            r"href=[\"']([^\"']*sciencedirect[^\"']*\.pdf[^\"']*)[\"']",
+            r"href=[\"']([^\"']*elsevier[^\"']*\.pdf[^\"']*)[\"']",
+            r"data-pdf-url=[\"']([^\"']*)[\"']",
+            r"data-download-url=[\"']([^\"']*)[\"']",
+            r"downloadUrl[\"']?\s*[:=]\s*[\"']([^\"']*\.pdf[^\"']*)[\"']",
+        ),
+    ),
+    Publisher(
+        "springer",
+        ("springer.com", "nature.com"),
+        (
+            (r"springer\.com/article/([0-9]+)", ("https://link.springer.com/content/pdf/10.1007/{0}.pdf", "https://link.springer.com/content/pdf/{0}.pdf", "https://link.springer.com/article/{0}/pdf")),
+            (r"link\.springer\.com/article/10\.\d+/([^/\"'\s]+)", ("https://link.springer.com/content/pdf/10.1007/{0}.pdf", "https://link.springer.com/content/pdf/{0}.pdf", "https://link.springer.com/article/{0}/pdf")),
+            (r"link\.springer\.com/content/pdf/10\.\d+/([^/]+)\.pdf", ("https://link.springer.com/content/pdf/10.1007/{0}.pdf", "https://link.springer.com/content/pdf/{0}.pdf", "https://link.springer.com/article/{0}/pdf")),
+            (r"articleId[\"']?\s*[:=]\s*[\"']([^\"']+)[\"']", ("https://link.springer.com/content/pdf/10.1007/{0}.pdf", "https://link.springer.com/content/pdf/{0}.pdf", "https://link.springer.com/article/{0}/pdf")),
+            (r"data-article-id=[\"']([^\"']+)[\"']", ("https://link.springer.com/content/pdf/10.1007/{0}.pdf", "https://link.springer.com/content/pdf/{0}.pdf", "https://link.springer.com/article/{0}/pdf")),
+            (r"doi[\"']?\s*[:=]\s*[\"'](10\.\d+/[^\"']+)[\"']", ("https://link.springer.com/content/pdf/{0}.pdf",)),
+            (r"data-doi=[\"'](10\.\d+/[^\"']+)[\"']", ("https://link.springer.com/content/pdf/{0}.pdf",)),
+            (r"link\.springer\.com/article/(10\.\d+/[^/\"'\s]+)", ("https://link.springer.com/content/pdf/{0}.pdf",)),
+        ),
+        (
+            r"data-pdf-url=[\"']([^\"']*)[\"']",
+            r"pdfDownloadUrl[\"']?\s*[:=]\s*[\"']([^\"']*)[\"']",
+            r"href=[\"']([^\"']*springer[^\"']*pdf[^\"']*)[\"']",
+        ),
+    ),
+    Publisher(
+        "ieee",
+        ("ieee.org",),
+        (
+            (r"arnumber[\"']?\s*[:=]\s*[\"']?([0-9]+)[\"']?", ("https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?arnumber={0}", "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber={0}")),
+            (r"ieee\.org/document/([0-9]+)", ("https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?arnumber={0}", "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber={0}")),
+            (r"documentNumber[\"']?\s*[:=]\s*[\"']?([0-9]+)[\"']?", ("https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?arnumber={0}", "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber={0}")),
+            (r"data-arnumber=[\"']([0-9]+)[\"']", ("https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?arnumber={0}", "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber={0}")),
+        ),
+        (
+            r"pdfUrl[\"']?\s*[:=]\s*[\"']([^\"']*ieee[^\"']*\.pdf[^\"']*)[\"']",
+            r"downloadUrl[\"']?\s*[:=]\s*[\"']([^\"']*ieee[^\"']*)[\"']",
+            r"href=[\"']([^\"']*ieeexplore[^\"']*pdf[^\"']*)[\"']",
+        ),
+    ),
+    Publisher(
+        "acm",
+        ("acm.org",),
+        (
+            (r"acm\.org/doi/(?:pdf/|abs/)?(10\.\d+/[0-9.]+)", ("https://dl.acm.org/doi/pdf/{0}",)),
+        ),
+        (
+            r"href=[\"']([^\"']*acm[^\"']*pdf[^\"']*)[\"']",
+            r"data-pdf-url=[\"']([^\"']*)[\"']",
+        ),
+    ),
+    Publisher(
+        "wiley",
+        ("wiley.com",),
+        (
+            (r"onlinelibrary\.wiley\.com/doi/(?:abs/|full/)?(10\.\d+/[^/\"'\s]+)", ("https://onlinelibrary.wiley.com/doi/pdfdirect/{0}",)),
+            (r"data-doi=[\"'](10\.\d+/[^\"']+)[\"']", ("https://onlinelibrary.wiley.com/doi/pdfdirect/{0}",)),
+        ),
+        (
+            r"href=[\"']([^\"']*wiley[^\"']*pdf[^\"']*)[\"']",
+            r"data-pdf-url=[\"']([^\"']*)[\"']",
+        ),
+    ),
+]
 LINKS = (r"href=[\"']([^\"']*\.pdf(?:[?#][^\"']*)?)[\"']", r"<meta[^>]+(?:citation_pdf_url)[\"'][^>]+content=[\"']([^\"']+)[\"']", r"(?:pdfUrl|pdf_url|downloadUrl)[\"']?\s*[:=]\s*[\"']([^\"']+)[\"']", r"data-pdf-url=[\"']([^\"']*)[\"']")
 
 
 def publisher(url: str) -> str:
     """HT1, HT5: the first publisher whose host is in the address; 'generic' for none."""
     low = (url or "").lower()
-    return next((name for name, hosts, _, _ in RULES if any(h in low for h in hosts)), "generic")
+    return next((p.name for p in PUBLISHERS if any(h in low for h in p.hosts)), "generic")
 
 
 def valid_urls(urls: list[str]) -> list[str]:
@@ -41,12 +133,12 @@ def pdf_links(page: str | bytes | None, url: str) -> list[str]:
     text = page.decode("utf-8", "ignore") if isinstance(page, bytes) else page or ""
     text = _html.unescape(text)
     found = []
-    for name, _, ids, links in RULES:
-        if name == publisher(url):
-            for where in (url or "", text):
-                for pattern, forms in ids:
-                    found.extend(f.format(m) for m in re.findall(pattern, where, re.I) for f in forms)
-            found.extend(urljoin(url, m) for p in links for m in re.findall(p, text, re.I))
+    rules = next((p for p in PUBLISHERS if p.name == publisher(url)), None)
+    if rules:
+        for where in (url or "", text):
+            for pattern, forms in rules.ids:
+                found.extend(f.format(m) for m in re.findall(pattern, where, re.I) for f in forms)
+        found.extend(urljoin(url, m) for p in rules.links for m in re.findall(p, text, re.I))
     found.extend(urljoin(url, m) for p in LINKS for m in re.findall(p, text, re.I))
     return valid_urls(found)
 

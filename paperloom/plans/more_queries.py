@@ -190,3 +190,27 @@ k as (select seq, {_BASE} as base, t from b), n as (select seq, base, row_number
 def dd3_fresh(s, d):
     """DD3, OP1: hits that the library lacks, with their new keys."""
     return resolve.new_entries(table(s, d, "search_results"), table(s, d, "library")).select("seq", "citation_key")
+
+
+#: Per remainder of the hit's number: the page's address, what the page holds, and the first address that the rules make of it.
+_PAGES = {
+    0: ("https://www.sciencedirect.com/a", '<a data-pii="S{n}">x</a>', "https://www.sciencedirect.com/science/article/pii/S{n}/pdfft?isDTMRedir=true&download=true"),
+    1: ("https://link.springer.com/a", '<meta data-article-id="s{n}">', "https://link.springer.com/content/pdf/10.1007/s{n}.pdf"),
+    2: ("https://ieeexplore.ieee.org/a", '<div data-arnumber="{n}">', "https://ieeexplore.ieee.org/stampPDF/getPDF.jsp?arnumber={n}"),
+    3: ("https://dl.acm.org/doi/10.1145/{n}", "<p>text</p>", "https://dl.acm.org/doi/pdf/10.1145/{n}"),
+    4: ("https://onlinelibrary.wiley.com/a", '<p data-doi="10.1002/w{n}">', "https://onlinelibrary.wiley.com/doi/pdfdirect/10.1002/w{n}"),
+    5: ("https://osf.io/p{n}", "<p>text</p>", "https://osf.io/p{n}/download"),
+    6: ("https://mirror.invalid/a/b", '<a href="../c/{n}.pdf">x</a>', "https://mirror.invalid/c/{n}.pdf"),
+}
+_NAMES = ("elsevier", "springer", "ieee", "acm", "wiley", "osf", "generic")
+
+
+@query("ht4_publishers", "select seq, case seq % 7 " + " ".join(f"when {i} then {n!r}" for i, n in enumerate(_NAMES)) + " end as publisher, case seq % 7 " + " ".join(f"when {i} then replace('{x[2]}', '{{n}}', (seq + 1000)::varchar)" for i, x in _PAGES.items()) + " end as first_link from search_results")
+def ht4_publishers(s, d):
+    """HT1, HT2, HT4, HT5: each hit as a page of one of the publishers, and the first address found on it."""
+    from paperloom.functions import pages
+    from paperloom.plans.other_queries import per_row
+
+    fill = lambda k: F.replace(F.element_at(F.create_map(*[F.lit(v) for i, x in _PAGES.items() for v in (i, x[k])]), (F.col("seq") % 7).cast("int")), F.lit("{n}"), (F.col("seq") + 1000).cast("string"))
+    rows = table(s, d, "search_results").select("seq", fill(0).alias("url"), fill(1).alias("page"))
+    return per_row(rows, ["seq"], ["url", "page"], lambda url, page: (pages.publisher(url), next(iter(pages.pdf_links(page, url)), None)), "publisher string, first_link string")
