@@ -46,7 +46,11 @@ def _tag(name: str, c: Column | str) -> Column:
 
 
 _NAMES = "coalesce(list_filter(authors, lambda a: a <> ''), [])"
-_DATE = F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-03-01"))
+
+
+def _date() -> Column:
+    return F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-03-01"))
+
 
 
 @query("sc9_arxiv", f"select seq, nullif(trim(replace(title, chr(10), ' ')), '') as title, {_NAMES} as authors, year, nullif(trim(replace(abstract, chr(10), ' ')), '') as abstract, nullif(trim(doi), '') as doi, url, coalesce(pdf_url, replace(url, '/abs/', '/pdf/')) as pdf_url, 'arXiv' as venue from search_results")
@@ -54,7 +58,7 @@ def sc9_arxiv(s, d):
     """SC9: Atom entries."""
     people = F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: F.concat(F.lit("<author><name>"), _xml(a), F.lit("</name></author>"))), "")
     link = F.coalesce(F.concat(F.lit('<link title="pdf" href="'), _xml("pdf_url"), F.lit('"/>')), F.lit(""))
-    entry = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:x="http://arxiv.org/schemas/atom"><entry>'), _tag("id", "url"), _tag("title", "title"), _tag("summary", "abstract"), _tag("published", _DATE), people, _tag("x:doi", "doi"), link, F.lit("</entry></feed>"))
+    entry = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:x="http://arxiv.org/schemas/atom"><entry>'), _tag("id", "url"), _tag("title", "title"), _tag("summary", "abstract"), _tag("published", _date()), people, _tag("x:doi", "doi"), link, F.lit("</entry></feed>"))
     return _parsed(s, d, "arxiv", entry, ["title", "authors", "year", "abstract", "doi", "url", "pdf_url", "venue"])
 
 
@@ -106,7 +110,7 @@ def sc24_pubmed(s, d):
 from (select *, case when seq % 2 = 0 then 'medrxiv' else 'biorxiv' end as w from search_results)""")
 def sc26_biorxiv(s, d):
     """SC26-SC28, SC30: papers of both servers, whose addresses follow from the DOI."""
-    paper = F.struct(F.nullif("doi", F.lit("")).alias("doi"), "title", F.array_join("authors", "; ").alias("authors"), _DATE.alias("date"), F.lit("2").alias("version"), "abstract", F.when(F.col("seq") % 2 == 0, "medrxiv").alias("server"))
+    paper = F.struct(F.nullif("doi", F.lit("")).alias("doi"), "title", F.array_join("authors", "; ").alias("authors"), _date().alias("date"), F.lit("2").alias("version"), "abstract", F.when(F.col("seq") % 2 == 0, "medrxiv").alias("server"))
     return _parsed(s, d, "biorxiv", F.to_json(F.struct(F.array(paper).alias("collection"))), ["title", "authors", "year", "abstract", "doi", "url", "pdf_url", "venue"])
 
 
