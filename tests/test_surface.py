@@ -25,6 +25,8 @@ def test_payload_folder(spark, tmp_path):
     spark.dataSource.register(connector.PayloadSource)
     got = payloads.parse(spark.read.format("payloads").load(str(tmp_path))).collect()
     assert [(r.keyword, r.title) for r in got] == [("active", "T")]
+    got = connector.payload_files(spark, str(tmp_path)).collect()
+    assert [(r.keyword, r.source, r.payload) for r in got] == [("active", "semanticscholar", '{"data": [{"title": "T"}]}')]
 
 
 def test_similarity_checks(spark):
