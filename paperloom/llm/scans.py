@@ -269,9 +269,11 @@ def candidates(forms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     plain = F.translate("form", SIGNS, LETTERS)
     looked = forms.select("form", "n_form", F.explode(F.array_distinct(F.array(F.col("form"), F.when(F.col("form").rlike("[^0-9]{2}"), plain).otherwise(F.col("form"))))).alias("seen"))
     found = trie_join(looked.select(F.col("seen").alias("a")).distinct(), vocabulary.select(F.col("word").alias("b")), 1, misread)
-    near = looked.join(found.withColumnRenamed("a", "seen"), "seen").select("form", "n_form", F.col("b").alias("word"), "edit")
-    signs = looked.filter("seen <> form").select("form", "n_form", F.col("seen").alias("word"), F.lit("sign").alias("edit"))
-    return near.unionByName(signs).distinct().join(vocabulary, "word").select("form", "n_form", "word", "n_word", "edit")
+    signs = looked.filter("seen <> form").select("form", "n_form", F.col("seen").alias("word"), F.lit("sign").alias("edit")).join(vocabulary, "word")
+    # where the letters meant make a word, a further misreading of them would be a second one
+    told = signs.select(F.col("form").alias("told")).distinct()
+    near = looked.join(told, (F.col("form") == F.col("told")) & (F.col("seen") != F.col("form")), "left_anti").join(found.withColumnRenamed("a", "seen"), "seen").select("form", "n_form", F.col("b").alias("word"), "edit")
+    return near.distinct().join(vocabulary, "word").select("form", "n_form", "word", "n_word", "edit").unionByName(signs.select("form", "n_form", "word", "n_word", "edit"))
 
 
 def ranked(found: DataFrame, min_forms: float = 0.0005) -> DataFrame:
