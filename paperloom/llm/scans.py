@@ -36,6 +36,7 @@ from paperloom.runtime import checkpoint, small_enough
 KEY = ["item_table", "citation_key"]
 FREQUENT = 4096  # words every worker knows; a fixed bound, the rest is joined
 KNOWN = 2  # times a word occurs in texts that are not scanned
+PROPER = 0.125  # of its share of the words of scanned texts, what a word has at least of the words of other texts
 MAX_HEADERS = 100_000  # names of venues that may be given to every worker; more are joined
 MAX_RIVALS = 200_000  # words that rival for a form that may be given to every worker; for more all neighbours are counted
 
@@ -309,6 +310,16 @@ def in_context(words: DataFrame, scored: DataFrame, texts: DataFrame, headers: f
     return seen.groupBy("form", "before").agg(F.max_by("word", F.struct(total, "word")).alias("word"))
 
 
+def known_words(counts: DataFrame) -> DataFrame:
+    """(word, clean) of the words that texts without damage have too.
+
+    Some scanned texts show neither furniture nor broken words and count as clean, so that any misreading is
+    found in clean texts of a large collection. But it is rare there, compared with scanned texts, at any size."""
+    total = counts.agg(F.sum("clean").cast("double").alias("all_clean"), F.sum("scanned").cast("double").alias("all_scanned"))
+    proper = F.col("clean") * F.col("all_scanned") >= PROPER * F.col("scanned") * F.col("all_clean")
+    return counts.filter(F.col("clean") >= KNOWN).join(F.broadcast(total), F.lit(True)).filter(proper).select("word", "clean")
+
+
 def header_names(venues: DataFrame) -> frozenset[str] | None:
     """Folded names of venues, which stand in running headers; None where they are too many to be given to every worker."""
     names = [r[0] for r in venues.filter(F.col("venue").isNotNull()).select("venue").distinct().limit(MAX_HEADERS + 1).collect()]
@@ -342,9 +353,10 @@ def analysed(texts: DataFrame, venues: DataFrame) -> tuple[DataFrame, DataFrame]
     headers = header_names(venues)
     texts = with_headers(texts.filter(F.trim("text") != "").select(*KEY, "text").distinct(), venues, headers)
     counts = checkpoint(word_counts(texts, headers))
-    frequent = frozenset(r[0] for r in counts.filter(F.col("clean") >= KNOWN).orderBy(F.col("clean").desc(), "word").limit(FREQUENT).select("word").collect())
+    known = checkpoint(known_words(counts))
+    frequent = frozenset(r[0] for r in known.orderBy(F.col("clean").desc(), "word").limit(FREQUENT).select("word").collect())
     facts = checkpoint(line_facts(texts, headers, frequent))
-    known = counts.filter(F.col("clean") >= KNOWN).select("word")
+    known = known.select("word")
     words = facts.filter("kind = 'word'")
     unknown = words.groupBy("form").agg(F.count(F.lit(1)).alias("n_form")).join(known.withColumnRenamed("word", "form"), "form", "left_anti")
     vocabulary = counts.filter((F.col("clean") >= KNOWN) | (F.col("scanned") >= 5)).filter(F.length("word") > 1).select("word", (F.col("clean") + F.col("scanned")).alias("n_word"))

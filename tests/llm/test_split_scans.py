@@ -142,3 +142,13 @@ def test_candidates_against_brute_force(spark):
     # the letters meant are misread once more only where they make no word
     seen = lambda f: {f, plain[f]} if re.search("[^0-9]{2}", f) and (plain[f] == f or plain[f] not in words) else {f}
     assert got == {(f, w) for f in forms for w in words if any(v != w and edits(v, w) for v in seen(f))}
+
+
+def test_misreadings_in_clean_texts_stay_misreadings(spark):
+    """In a large collection some scanned texts pass for clean, and any misreading is found there more than once."""
+    good = "the other ones have what the other ones have " * 10
+    scanned = [("corpus", f"s{i}", f"Page {i} of 90\nwe saw tbe lamp\nand otber lamps\nthat bave oil\n{good}") for i in range(12)]
+    clean = [("corpus", f"c{i}", good * 8 + ("tbe otber bave" if i < 3 else "")) for i in range(12)]
+    df = spark.createDataFrame(scanned + clean, "item_table string, citation_key string, text string")
+    got = {(r.citation_key, r.line_no) for r in S.found_lines(df, spark.createDataFrame([("Other",)], "venue string")).filter("kind = 'ocr'").collect()}
+    assert got == {(f"s{i}", n) for i in range(12) for n in (2, 3, 4)}
