@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import cache_key, nonempty
+from paperloom.operators import overlap
 from paperloom.operators.select import present
 
 KINDS = ("pdf", "text", "summary")
@@ -134,11 +135,20 @@ def summary_statistics(summaries: DataFrame) -> DataFrame:
 def related_papers(library: DataFrame, profiles: DataFrame, most: int = 5) -> DataFrame:
     """JN16: for each profile (citation_key, keywords) the papers whose abstracts share most of its keywords.
 
-    Keywords that a papers' abstracts share are joined as tokens; the best are kept by a window."""
+    Shared keywords are counted on an index of bits, for all papers at once; no pair but the best is written."""
     from paperloom.functions.text import keywords
 
-    a = profiles.select(F.col("citation_key").alias("paper"), F.explode(F.array_distinct("keywords")).alias("k"))
-    b = library.select("citation_key", F.explode(keywords(F.col("abstract"))).alias("k"))
-    score = a.join(b, "k").filter("paper <> citation_key").groupBy("paper", "citation_key").agg(F.count(F.lit(1)).alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("paper").orderBy(F.col("shared").desc(), "citation_key"))
-    return score.withColumn("rank", rank).filter(F.col("rank") <= most).select("paper", "citation_key", "shared", F.round(F.col("shared") * 0.1, 6).alias("score"), "rank")
+    def search(index: overlap.Index, paper: str, words: list[str]) -> list[tuple[str, int, float]]:
+        # one more than asked for, since the paper itself may be among them
+        found = [(index.idents[at], n) for at, n in overlap.top(index, words, most + 1) if index.idents[at] != paper]
+        return [(key, rank, float(n)) for rank, (key, n) in enumerate(found[:most], 1)]
+
+    named = F.col("citation_key").isNotNull()
+    asked = profiles.filter(named & F.col("keywords").isNotNull()).select(F.col("citation_key").alias("query"), F.array_distinct("keywords").alias("words"))
+    items = library.filter(named & F.col("abstract").isNotNull()).select(F.col("citation_key").alias("ident"), F.lit(0).alias("rank"), "abstract")
+    found, blocks = overlap.asked(items, keywords(F.col("abstract")), asked, search)
+    best = found.select(F.col("query").alias("paper"), F.col("ident").alias("citation_key"), F.col("value").cast("bigint").alias("shared"), "rank")
+    if blocks > 1:
+        rank = F.row_number().over(Window.partitionBy("paper").orderBy(F.col("shared").desc(), "citation_key"))
+        best = best.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return best.select("paper", "citation_key", "shared", F.round(F.col("shared") * 0.1, 6).alias("score"), "rank")

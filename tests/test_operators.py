@@ -1,5 +1,7 @@
 import datetime as dt
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -205,3 +207,44 @@ def test_links_beyond_a_hundred(spark):
     got = vec.nearest(df, df.filter("vec_id % 150 = 0"), "vec_id", "v", 7).collect()
     assert sorted((r.query, r.rank, r.neighbour) for r in got if r.query == 0) == [(0, i, i) for i in range(1, 8)] and len(got) == 14
     assert vec.nearest(df, df.limit(0), "vec_id", "v", 7).count() == 0 and vec.silhouette(df, df.limit(0), "vec_id", "v", "vec_id").count() == 0
+
+
+def test_overlaps_against_brute_force(spark):
+    from paperloom.operators import overlap
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    pick = lambda k: rng.sample(words[:14], k) if rng.random() < 0.8 else rng.sample(words, k)
+    items = [(f"k{rng.randrange(900):04d}", 0, pick(rng.randint(0, 9))) for _ in range(1200)]
+    queries = [(f"k{rng.randrange(900):04d}", pick(rng.randint(0, 8))) for _ in range(150)]
+    mine, theirs = {}, {}
+    for out, rows in ((mine, items), (theirs, queries)):
+        for r in rows:
+            out.setdefault(r[0], Counter()).update(r[-1])
+    expected = set()
+    for q, asks in theirs.items():
+        shared = sorted((-sum(n * c[w] for w, n in asks.items()), k) for k, c in mine.items() if k != q)
+        expected |= {(q, k, -n) for n, k in shared[:5] if n}
+    i = spark.createDataFrame(items, "ident string, rank int, words array<string>")
+    q = spark.createDataFrame(queries, "query string, words array<string>")
+    top = lambda index, query, asks: [(index.idents[at], 0, float(n)) for at, n in overlap.top(index, asks, 6) if index.idents[at] != query][:5]
+    got, blocks = overlap.asked(i, F.col("words"), q, top, 3)
+    assert blocks == 1 and {(r.query, r.ident, r.value) for r in got.collect()} == expected
+    # blocks hold the best among others
+    several, blocks = overlap.asked(i, F.col("words"), q, top, 2, 500)
+    assert blocks == 3 and {(r.query, r.ident, r.value) for r in several.collect()} >= expected
+    # sets without repetition by similarity
+    sets = {f"s{n:04d}": sorted(set(pick(rng.randint(1, 9)))) for n in range(700)}
+    near = lambda index, query, asks: [(index.idents[at], 0, float(s)) for at, s in zip(*overlap.similar(index, asks, 0.6), strict=True)]
+    i = spark.createDataFrame([(k, 0, w) for k, w in sets.items()], "ident string, rank int, words array<string>")
+    got, _ = overlap.asked(i, F.col("words"), i.limit(200).select(F.col("ident").alias("query"), "words"), near, 3)
+    some = sorted(sets)[:200]
+    assert {(r.query, r.ident, r.value) for r in got.collect()} == {(a, b, len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))) for a in some for b in sets if len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= 0.6}
+
+
+def test_related_papers_write_no_pairs(spark):
+    """Papers with common keywords are not joined pair by pair."""
+    papers = spark.range(50).select(F.format_string("k%02d", "id").alias("citation_key"), F.lit("neural models").alias("abstract"))
+    got = inventory.related_papers(papers, papers.select("citation_key", F.split("abstract", " ").alias("keywords")))
+    assert not re.search(r"Join \[k#", got._jdf.queryExecution().executedPlan().toString())
+    assert [(r.citation_key, r.shared, r["rank"]) for r in got.filter("paper = 'k01'").orderBy("rank").collect()] == [("k00", 2, 1), ("k02", 2, 2), ("k03", 2, 3), ("k04", 2, 4), ("k05", 2, 5)]
