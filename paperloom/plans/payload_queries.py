@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
+from paperloom.operators import overlap
 from paperloom.runtime import table
 from paperloom.sources import payloads
 
@@ -137,20 +139,28 @@ select asked, seq, round(s, 6) as similarity from p where s >= 0.7 qualify row_n
 def by_title(asked: DataFrame, hits: DataFrame, order: list[str], least: float = 0.7) -> DataFrame:
     """SC11, SC29: for each asked title the most similar hit of the first source in ``order`` that has one of ``least`` similarity.
 
-    Hits come by shared words, rarest half of each title's words first: titles that similar share one of them."""
+    Hits of the same words are one, the first of them; shared words are counted on an index of bits."""
     rank = F.coalesce(*[F.when(F.col("source") == s, i) for i, s in enumerate(order)])
     words = lambda c: F.array_distinct(F.filter(F.split(tx.normalize_title(F.col(c)), " "), lambda w: w != ""))
-    a = asked.select(F.col("title").alias("asked")).filter(F.trim("asked") != "").distinct().withColumn("wa", words("asked")).filter(F.size("wa") > 0)
-    b = hits.filter(F.col("source").isin(*order)).filter(F.trim("title") != "").select("seq", rank.alias("rank"), words("title").alias("wb")).filter(F.size("wb") > 0)
-    often = b.select(F.explode("wb").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ordered = a.select("asked", "wa", F.explode("wa").alias("w")).join(often, "w", "left")
-    # two sets of Jaccard similarity s share at least s of the larger one: all but a 1 - s part of the words cannot be missed
-    kept = ordered.groupBy("asked", "wa").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("by"))
-    kept = kept.select("asked", "wa", F.explode(F.slice("by", F.lit(1), (F.size("by") - F.ceil(F.size("by") * least) + 1).cast("int"))).alias("x")).select("asked", "wa", "x.w")
-    pairs = kept.join(b.select("seq", "rank", "wb", F.explode("wb").alias("w")), "w").select("asked", "wa", "seq", "rank", "wb").dropDuplicates(["asked", "seq"])
-    similarity = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
-    good = pairs.withColumn("s", similarity).filter(F.col("s") >= least)
-    return good.groupBy("asked").agg(F.min_by(F.struct("seq", "s"), F.struct("rank", -F.round("s", 9), "seq")).alias("r")).select("asked", "r.seq", F.round("r.s", 6).alias("similarity"))
+    a = asked.select(F.col("title").alias("query")).filter(F.trim("query") != "").distinct().withColumn("words", words("query")).filter(F.size("words") > 0)
+    b = hits.filter(F.col("source").isin(*order)).filter(F.trim("title") != "").select("seq", rank.alias("rank"), F.array_sort(words("title")).alias("words")).filter(F.size("words") > 0)
+    first = b.groupBy("words").agg(F.min(F.struct("rank", "seq")).alias("first")).select(F.col("first.seq").cast("string").alias("ident"), "first.rank", "words")
+
+    def search(index: overlap.Index, title: str, asks: list[str]) -> list[tuple[str, int, float]]:
+        at, s = overlap.similar(index, asks, least)
+        if not len(at):
+            return []
+        # the first source, then the most similar, then the first hit
+        at, s = at[(ranks := index.ranks[at]) == ranks.min()], s[ranks == ranks.min()]
+        near = np.round(s, 9)
+        at, s = at[near == near.max()], s[near == near.max()]
+        best = min(range(len(at)), key=lambda i: int(index.idents[at[i]]))
+        return [(index.idents[at[best]], int(index.ranks[at[best]]), float(s[best]))]
+
+    good, _ = overlap.asked(first, F.col("words"), a, search)
+    seq = F.col("ident").cast(dict(hits.dtypes)["seq"]).alias("seq")
+    best = good.select(F.col("query").alias("asked"), seq, "rank", "value").groupBy("asked").agg(F.min_by(F.struct("seq", "value"), F.struct("rank", -F.round("value", 9), "seq")).alias("r"))
+    return best.select("asked", "r.seq", F.round("r.value", 6).alias("similarity"))
 
 
 def _words_sql(c: str) -> str:

@@ -248,3 +248,13 @@ def test_related_papers_write_no_pairs(spark):
     got = inventory.related_papers(papers, papers.select("citation_key", F.split("abstract", " ").alias("keywords")))
     assert not re.search(r"Join \[k#", got._jdf.queryExecution().executedPlan().toString())
     assert [(r.citation_key, r.shared, r["rank"]) for r in got.filter("paper = 'k01'").orderBy("rank").collect()] == [("k00", 2, 1), ("k02", 2, 2), ("k03", 2, 3), ("k04", 2, 4), ("k05", 2, 5)]
+
+
+def test_titles_are_asked_without_a_join_on_words(spark):
+    from paperloom.plans.payload_queries import by_title
+
+    hits = spark.createDataFrame([(9, "arxiv", "A B c d e f g"), (3, "arxiv", "g f e d c b a"), (1, "crossref", "a b c d e f g"), (7, "biorxiv", "a b c x y z"), (4, "arxiv", " "), (5, "dblp", "a b c d e f g")], "seq bigint, source string, title string")
+    asked = spark.createDataFrame([("a b c d e f g h",), ("a b c d e f g",), ("x",), (None,)], "title string")
+    got = by_title(asked, hits, ["biorxiv", "arxiv", "crossref"])
+    assert not re.search(r"Join \[w#", got._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in got.collect()} == {("a b c d e f g h", 3, 0.875), ("a b c d e f g", 3, 1.0)}
