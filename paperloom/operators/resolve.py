@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions.text import author_overlap, nonempty, normalize_title, title_similarity, words, year_match
+from paperloom.operators import overlap
 from paperloom.operators.ordered import numbered_keys, relevance
 from paperloom.runtime import checkpoint
 
@@ -129,19 +130,28 @@ def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def best_enrichment(entries: DataFrame, results: DataFrame, least: float = SIMILAR) -> DataFrame:
     """JN13, JN14, JN22: the best hit of each entry by .6 title, .3 authors, .1 year; sources in their order of trust.
 
-    Candidates are the pairs of similar titles; there is no cross join."""
+    Candidates are the pairs of similar titles of an entry and a hit, found on an index of bits. Hits that score
+    alike for any entry are one, the first of them."""
     a = entries.withColumn("na", normalize_title(F.col("title")))
     b = results.withColumn("nb", normalize_title(F.col("title")))
-    titles = a.select(F.col("na").alias("title")).union(b.select(F.col("nb").alias("title")))
-    near = similar_titles(titles)
-    same = titles.distinct().select(F.col("title").alias("a"), F.col("title").alias("b"), F.lit(1.0).alias("similarity"))
-    links = near.select("a", "b", "similarity").union(near.select("b", "a", "similarity")).unionByName(same)
-    e = a.select("citation_key", "na", F.col("authors").alias("ea"), F.col("year").alias("ey"))
-    r = b.select("seq", "nb", F.col("authors").alias("ra"), F.col("year").alias("ry"), "source", "doi").filter(nonempty(F.col("doi")))
+    trust = F.when(F.col("source") == "crossref", 0).when(F.col("source") == "semanticscholar", 1).when(F.col("source") == "openalex", 2).otherwise(3)
+    r = b.filter(nonempty(F.col("doi")) & F.col("nb").isNotNull()).groupBy("nb", F.col("authors").alias("ra"), F.col("year").alias("ry"), trust.alias("trust"))
+    r = checkpoint(r.agg(F.min(F.struct("seq", "source", "doi")).alias("first")).select("nb", "ra", "ry", "trust", "first.*"))
+    e = a.filter(F.col("na").isNotNull()).select("citation_key", "na", F.col("authors").alias("ea"), F.col("year").alias("ey"))
+
+    def search(index: overlap.Index, title: str, asks: list[str]) -> list[tuple[str, int, float]]:
+        at, s = overlap.similar(index, asks, SIMILAR - 1e-12)
+        return [(index.idents[p], 0, float(x)) for p, x in zip(at, s, strict=True) if index.idents[p] != title]
+
+    wordy = lambda df: df.filter(F.size("words") > 0)
+    mine = wordy(e.select(F.col("na").alias("query")).distinct().withColumn("words", words(F.col("query"))))
+    theirs = r.select(F.col("nb").alias("ident"), F.lit(0).alias("rank")).distinct()
+    near, _ = overlap.asked(theirs, words(F.col("ident")), mine, search)
+    same = r.select(F.col("nb").alias("a"), F.col("nb").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    links = near.select(F.col("query").alias("a"), F.col("ident").alias("b"), F.col("value").alias("similarity")).unionByName(same)
     both = e.join(links, F.col("na") == F.col("a")).join(r, F.col("nb") == F.col("b"))
     score = 0.6 * F.col("similarity") + 0.3 * author_overlap(F.col("ea"), F.col("ra")) + 0.1 * year_match(F.col("ey"), F.col("ry"))
-    trust = F.when(F.col("source") == "crossref", 0).when(F.col("source") == "semanticscholar", 1).when(F.col("source") == "openalex", 2).otherwise(3)
-    got = both.withColumn("score", F.round(score, 9)).withColumn("trust", trust).filter(F.col("score") >= least)
+    got = both.withColumn("score", F.round(score, 9)).filter(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("citation_key").orderBy("trust", F.col("score").desc(), "seq"))
     return got.withColumn("r", rank).filter("r = 1").select("citation_key", "seq", "doi", "source", "score")
 

@@ -258,3 +258,13 @@ def test_titles_are_asked_without_a_join_on_words(spark):
     got = by_title(asked, hits, ["biorxiv", "arxiv", "crossref"])
     assert not re.search(r"Join \[w#", got._jdf.queryExecution().executedPlan().toString())
     assert {tuple(r) for r in got.collect()} == {("a b c d e f g h", 3, 0.875), ("a b c d e f g", 3, 1.0)}
+
+
+def test_hits_that_score_alike_are_joined_once(spark):
+    """Copies of a hit do not multiply with the entries of their title, and titles of hits are not compared with each other."""
+    entries = spark.createDataFrame([(f"k{i}", "a b c d e f g h", ["A Kim"], 2020) for i in range(20)], "citation_key string, title string, authors array<string>, year int")
+    hits = [(i, "a b c d e f g", ["B Kim"], 2020, "crossref" if i > 30 else "dblp", f"10.1/{i}") for i in range(60)] + [(70, "A b c d e f g h!", ["C Kim"], 2021, "openalex", "10.1/70"), (71, "a b c d e f g h", ["C Kim"], 2020, "crossref", None)]
+    hits = spark.createDataFrame(hits, "seq bigint, title string, authors array<string>, year int, source string, doi string")
+    got = resolve.best_enrichment(entries, hits)
+    assert not re.search(r"Join \[x#", got._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in got.collect()} == {(f"k{i}", 31, "10.1/31", "crossref", 0.925) for i in range(20)}
