@@ -143,18 +143,30 @@ def canonical_given(names: DataFrame, votes: DataFrame, aliases: DataFrame, dist
     per = names.filter(F.length("given") > 2).select("family", "given").distinct()
     per = checkpoint(per.join(typed, "given", "left").select("family", F.coalesce("right", "given").alias("given")).distinct())
     count = per.groupBy("given").agg(F.count(F.lit(1)).alias("n"))
-    # in a family with a good part of all given names any two meet; such families tell nothing, and would give all pairs
+    # a pair that is kept shares at least half of the rarer name's families, and two, or five where the names begin
+    # differently: so all but that many of its families cannot be missed. The narrowest are asked, and of the pairs
+    # that meet there the families are counted
     width = per.groupBy("family").agg(F.count(F.lit(1)).alias("width"))
-    all_given = per.agg(F.count_distinct("given").alias("all_given"))
-    told = per.join(width.join(F.broadcast(all_given), F.lit(True)).filter(F.col("width") <= F.greatest(F.lit(50), 0.02 * F.col("all_given"))).select("family"), "family")
-    pairs = told.join(told.withColumnRenamed("given", "other"), "family").filter("given <> other").groupBy("given", "other").agg(F.count(F.lit(1)).alias("both"))
+    at = F.row_number().over(Window.partitionBy("given").orderBy("width", "family"))
+    sized = checkpoint(per.join(width, "family").withColumn("at", at).join(count, "given"))
+    start = F.substring("given", 1, 2)
+    asked = lambda need: sized.filter(F.col("at") <= F.col("n") - F.greatest(F.ceil(0.5 * F.col("n")), F.lit(need)) + 1).select("family", "given", "n", start.alias("start"))
+    others = sized.select("family", F.col("given").alias("other"), F.col("n").alias("m"), F.substring("given", 1, 2).alias("start"))
+    # the chance that one name of each of two is in the same family, which grows with wide families
+    total = checkpoint(width.agg((F.sum(F.col("width").cast("double") * F.col("width")) / F.pow(F.sum("width"), 2)).alias("same")))
+    common = F.col("n") < F.col("m")
+    meet = asked(2).join(others, ["family", "start"]).filter(common & (F.col("given") != F.col("other"))).select("given", "other")
+    meet = meet.unionByName(asked(5).join(others.drop("start"), "family").join(F.broadcast(total), F.lit(True)).filter(common & (3 * F.col("m") * F.col("same") <= 1 + 1e-9)).select("given", "other"))
+    meet = checkpoint(meet.distinct())
+    pairs = meet.join(per, "given").join(per.select("family", F.col("given").alias("other")), ["family", "other"]).groupBy("given", "other").agg(F.count(F.lit(1)).alias("both"))
     # far more often than two names meet in one family by chance, which where families are large is often
-    total = per.agg(F.count_distinct("family").alias("families"))
-    chance = F.col("n") * F.col("m") / F.col("families")
+    chance = F.col("n") * F.col("m") * F.col("same")
+    # among many names some meet by accident more often than that, the less so where they begin alike
+    beyond = F.greatest(3 * chance, F.when(F.substring("given", 1, 2) == F.substring("other", 1, 2), 0).otherwise(chance + 5 * F.sqrt(chance)))
     alike = F.substring("given", 1, 2) == F.substring("other", 1, 2)
     learned = (
         pairs.join(count, "given").join(count.select(F.col("given").alias("other"), F.col("n").alias("m")), "other").join(F.broadcast(total), F.lit(True))
-        .filter((F.col("n") < F.col("m")) & (F.col("both") >= 0.5 * F.col("n")) & (F.col("both") >= F.when(alike, 2).otherwise(5)) & (F.col("both") >= 3 * chance)).groupBy(F.col("given").alias("short")).agg(F.max_by("other", F.struct("both", "other")).alias("long"))
+        .filter((F.col("n") < F.col("m")) & (F.col("both") >= 0.5 * F.col("n")) & (F.col("both") >= F.when(alike, 2).otherwise(5)) & (F.col("both") >= beyond)).groupBy(F.col("given").alias("short")).agg(F.max_by("other", F.struct("both", "other")).alias("long"))
     )
     short = table.unionByName(learned.join(table, "short", "left_anti"))
     given = names.select("given").filter(F.col("given").isNotNull()).distinct()

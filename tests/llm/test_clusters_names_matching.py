@@ -198,3 +198,16 @@ def test_beliefs_share_a_hit(spark):
 @pytest.mark.parametrize(("a", "b", "d"), [("same", "same", 0), ("layered", "layled", 3), ("tensor", "tensors", 1), ("teh", "the", 1), ("sparse", "dense", 9), ("", "x", 9), ("clinical", "clnica", 3)])
 def test_near(a, b, d):
     assert M.near(a, b) == d
+
+
+def test_nicknames_of_wide_families(spark):
+    """Families with a good part of all given names tell nicknames too, where names meet there more often than by chance."""
+    rng = random.Random(2)
+    others = ["".join(rng.choice("bcdfghklmnprst") for _ in range(9)) for _ in range(400)]
+    rows = [(f"fam{f}", g) for f in range(100) for g in rng.sample(others, 60)]
+    rows += [(f"fam{f}", "zabo") for f in range(10)] + [(f"fam{f}", "zeppelin") for f in range(14)]
+    people = spark.createDataFrame([(f"{g} {f}", f, g, None) for f, g in rows], "name string, family string, given string, middle string")
+    votes = spark.createDataFrame([(g, 100, 0) for g in {g for _, g in rows}], "t string, g bigint, f bigint")
+    aliases = spark.createDataFrame([], "short_form string, full_form string")
+    got = {r.given: r.full for r in N.canonical_given(people, votes, aliases).collect()}
+    assert got.pop("zabo") == "zeppelin" and all(g == full for g, full in got.items())
