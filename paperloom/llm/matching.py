@@ -1,11 +1,13 @@
 """Matching of summaries and search hits that share no identifier, by loopy belief propagation.
 
 Candidate pairs are all pairs that the score can accept: no word of such a hit's title may be without
-counterpart, so an index of title words and their misspellings is asked for its rarest words together.
-Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
+counterpart, so an index of title words and their misspellings is asked for its rarest words together, and
+no title makes up for other authors, so pairs whose authors share no family name are left out before they
+are scored. Equal records are compared once. Each pair gets log-odds from its titles, authors and years. Pairs are binary variables under two
 kinds of factors: a hit belongs to one summary at most, and a summary's hits of one source crowd each
 other out a little, since a source lists a work mostly once. Messages between pairs and factors are
-exchanged through joins on the factors' keys until they no longer change; the marginals are reported.
+exchanged through sums over the factors' keys until they no longer change; the marginals are reported.
+Pairs without rivals in either factor get no messages and need no rounds.
 Messages that have not come to rest after a stated number of rounds are an error, not a result.
 
 Defined results: titles that are null or blank match nothing; missing authors or years count neither
@@ -19,14 +21,17 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations, product
+from functools import lru_cache
+from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperloom.llm.names import read
-from paperloom.runtime import checkpoint
+from paperloom.runtime import checkpoint, small_enough
 
 #: Log-odds of what a pair shows; fixed parameters of the model.
 PRIOR = -2.5
@@ -38,6 +43,7 @@ SAME_SOURCE = 0.7  # log-odds that a further hit of the same source costs
 HARD = 30.0
 SMALL = frozenset("a an the of in on for and to with under from".split())
 ASKED = 2  # rarest words of a hit's title that are looked up together; the others are checked behind the look-up
+MOST_KEYS = 1 << 20  # keys asked for that are sent to every worker at most; of more, all keys of summaries are joined
 
 
 def title_words(title: str | None) -> tuple[list[str], int, bool]:
@@ -55,18 +61,23 @@ def title_words(title: str | None) -> tuple[list[str], int, bool]:
 
 def families(authors: list[str | None] | None) -> list[list[str]]:
     """Folded tokens of each author that may be the family name, packed lists taken apart."""
+    return [tokens for entry in authors or [] if entry for tokens in _families_of(entry)]
+
+
+@lru_cache(1 << 15)
+def _families_of(entry: str) -> list[list[str]]:
     out = []
-    for entry in authors or []:
-        for name in re.split(r"\s*[;|]\s*|\s+and\s+(?=[A-Z])", entry or ""):
-            if not name.strip() or re.fullmatch(r"(?i)\s*(?:et\.? al\.?|and others|others|u\. ?a\.)\s*", name):
-                continue
-            front, behind, comma = read(re.sub(r"(?i),?\s*\bet\.? al\.?\s*$", "", name))
-            tokens = [t for t in (front if comma else front + behind) if len(t) > 1]
-            if tokens:
-                out.append(tokens)
+    for name in re.split(r"\s*[;|]\s*|\s+and\s+(?=[A-Z])", entry):
+        if not name.strip() or re.fullmatch(r"(?i)\s*(?:et\.? al\.?|and others|others|u\. ?a\.)\s*", name):
+            continue
+        front, behind, comma = read(re.sub(r"(?i),?\s*\bet\.? al\.?\s*$", "", name))
+        tokens = [t for t in (front if comma else front + behind) if len(t) > 1]
+        if tokens:
+            out.append(tokens)
     return out
 
 
+@lru_cache(1 << 16)
 def near(a: str, b: str) -> int:
     """0 for equal words, 1 for one typing error apart, 3 for two in words of six letters or more, 9 for others."""
     if a == b:
@@ -134,6 +145,11 @@ def title_score(a: tuple[list[str], int, bool], b: tuple[list[str], int, bool])
     return base + row[m]
 
 
+def same_family(t: str, u: str) -> bool:
+    """Whether a token of a hit's author is taken for one of a summary's author."""
+    return min(len(t), len(u)) >= 3 and (len(t) > 3 or t == u) and near(t, u) < 3
+
+
 def author_score(a: list[list[str]], b: list[list[str]]) -> float:
     """Log-odds of two author lists by the share of family names of the shorter one."""
     if not a or not b:
@@ -141,7 +157,7 @@ def author_score(a: list[list[str]], b: list[list[str]]) -> float:
     left, hits = [set(x) for x in a], 0
     for name in b:
         for k, other in enumerate(left):
-            if any(near(t, u) < 3 and min(len(t), len(u)) >= 3 for t in name for u in other if len(t) > 3 or t == u):
+            if any(same_family(t, u) for t in name for u in other):
                 hits += 1
                 del left[k]
                 break
@@ -240,40 +256,109 @@ def word_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
             cols = [[r[i] for r in rows] for i in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string()))], names=["h", "j", "hw", "joined"])
 
-    def keyed(keys_of, ident: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [(i, k) for i, x in enumerate(b.column(1).to_pylist()) for k in keys_of(x)]
-                at = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([r[1] for r in rows], pa.string()), b.column(2).take(at)], names=[ident, "key", "bits"])
+    def keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A key of two hashed words, or of one, given twice; pairs that meet by chance are checked later."""
+        return low * np.int64(0x5851F42D4C957F2D) + high
 
-        return run
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            j, word, n = (lists.flatten().field(i) for i in range(3))
+            hit, j = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), j.to_numpy()
+            there, word, n = word.is_valid().to_numpy(zero_copy_only=False), word.fill_null(0).to_numpy(), n.fill_null(0).to_numpy()
+            # a word may be near to a place's word and joined from it
+            by = np.lexsort((word, ~there, j, hit))
+            hit, j, there, word, n = hit[by], j[by], there[by], word[by], n[by]
+            place = np.r_[True, (hit[1:] != hit[:-1]) | (j[1:] != j[:-1])]
+            once = place | there & np.r_[True, word[1:] != word[:-1]]
+            hit, there, word, n, place = hit[once], there[once], word[once], n[once], place[once]
+            first = np.flatnonzero(place)
+            bits = np.bitwise_or.reduceat(np.where(there, np.left_shift(np.int64(1), word & 63), 0), first)
+            total, of, end = np.add.reduceat(n, first), hit[first], np.r_[first[1:], len(hit)]
+            order = np.lexsort((total, of))
+            starts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+            rows = []
+            for x, y in zip(starts, np.r_[starts[1:], len(order)], strict=True):
+                # one without a word leaves none to ask for
+                asks = [word[first[k] : end[k]].tolist() if total[k] else [] for k in order[x : min(y, x + ASKED)]]
+                rows += {(of[order[x]], min(ws), max(ws)) for ws in product(*asks)}
+            at, low, high = np.array(rows, np.int64).reshape(-1, 3).T
+            every = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)].astype(np.int32)), pa.array(bits[order]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(keys(low, high)), every.take(pa.array(at))], names=["h", "key", "bits"])
+
+    def giving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # each word with itself and those behind it
+            each = [x[np.stack(np.triu_indices(len(x)))] for x in (np.array(x, np.int64) for x in b.column(1).to_pylist())]
+            at = np.repeat(np.arange(len(each)), [x.shape[1] for x in each])
+            key = keys(*np.concatenate(each, axis=1))
+            if wanted is not None:
+                kept = np.isin(key, wanted.value)
+                at, key = at[kept], key[kept]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(key), b.column(2).take(pa.array(at))], names=["s", "key", "bits"])
 
     places = checkpoint(right.select("class", "words", "main", "cut").mapInArrow(bound, "h bigint, j int, hw string, joined array<string>"))
     vocabulary = checkpoint(left.select(F.explode(F.array_distinct("words")).alias("sw")).groupBy("sw").agg(F.count(F.lit(1)).alias("n")))
     near_ = near_words(places.filter("j >= 0").select("hw").distinct(), vocabulary)
-    variants = places.select("h", "j", "hw").join(near_, "hw").select("h", "j", "sw")
-    variants = variants.unionByName(places.select("h", "j", F.explode("joined").alias("sw"))).distinct().join(vocabulary, "sw")
-    found = places.filter("j >= 0").select("h", "j").join(variants.groupBy("h", "j").agg(F.sum("n").alias("n"), F.collect_set("sw").alias("sw")), ["h", "j"], "left")
-    row = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", F.coalesce("sw", F.array().cast("array<string>")).alias("sw"))
-    bits = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
-    every = F.array_sort(F.collect_list(row))["sw"]
-    top = checkpoint(found.groupBy("h").agg(every.alias("places")).select("h", F.slice("places", 1, ASKED).alias("words"), F.transform("places", bits).alias("bits")))
-    asked = top.mapInArrow(keyed(lambda places: {" ".join(sorted(set(x))) for x in product(*places)}, "h"), "h bigint, key string, bits array<bigint>")
-    # words that no hit asks for need no keys
-    used = top.select(F.explode(F.flatten("words")).alias("sw")).distinct()
-    words = left.select(F.col("class").alias("s"), bits(F.col("words")).alias("bits"), F.explode(F.array_distinct("words")).alias("sw")).join(used, "sw").groupBy("s", "bits").agg(F.array_sort(F.collect_list("sw")).alias("words"))
-    given = words.select("s", "words", "bits").mapInArrow(keyed(lambda w: {" ".join(x) for k in range(1, ASKED + 1) for x in combinations(w, k)}, "s"), "s bigint, key string, bits bigint")
-    hashed = lambda df, ident, name: df.select(ident, F.xxhash64("key").alias("key"), F.col("bits").alias(name))
-    found = hashed(asked, "h", "hb").join(hashed(given, "s", "sb"), "key").filter(F.forall("hb", lambda b: b.bitwiseAND(F.col("sb")) != 0)).select("s", "h")
+    word = F.xxhash64("sw").alias("word")
+    variants = near_.join(vocabulary, "sw").select("hw", word, "n")
+    variants = places.filter("j >= 0").select("h", "j", "hw").join(variants, "hw", "left").select("h", "j", "word", "n")
+    joined = places.select("h", "j", F.explode("joined").alias("sw")).join(vocabulary, "sw").select("h", "j", word, "n")
+    every = variants.unionByName(joined).groupBy("h").agg(F.collect_list(F.struct("j", "word", "n")).alias("places"))
+    asked = checkpoint(every.mapInArrow(asking, "h bigint, key bigint, bits array<bigint>"))
+    bits = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(w, F.lit(64)).cast("int"))))
+    # of a summary's keys, those that no hit asks for need not be joined
+    wanted, distinct = None, asked.select("key").distinct()
+    if small_enough(distinct, MOST_KEYS):
+        wanted = left.sparkSession.sparkContext.broadcast(np.sort(distinct.toArrow().column("key").to_numpy()))
+    words = F.array_sort(F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)))
+    given = left.select(F.col("class").alias("s"), words.alias("words")).withColumn("bits", bits(F.col("words"))).mapInArrow(giving, "s bigint, key bigint, bits bigint")
+    found = asked.withColumnRenamed("bits", "hb").join(given.withColumnRenamed("bits", "sb"), "key").filter(F.forall("hb", lambda b: b.bitwiseAND(F.col("sb")) != 0)).select("s", "h")
     title = F.array_join("words", " ")
     whole = left.select(F.col("class").alias("s"), title.alias("title")).join(places.filter("j < 0").select("h").join(right.select(F.col("class").alias("h"), title.alias("title")), "h"), "title").select("s", "h")
     return found.unionByName(whole).distinct()
 
 
+def near_names(hit: DataFrame, summary: DataFrame) -> DataFrame:
+    """(ht, st): tokens of hits' authors with the tokens of summaries' authors that they are taken for."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # tokens one typing error apart share one of these
+            rows = [(t, k) for t in b.column(0).to_pylist() for k in {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["t", "k"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([same_family(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    keys = lambda df, name: df.filter(F.length(name) >= 3).mapInArrow(spread, "t string, k string").select(F.col("t").alias(name), F.xxhash64("k").alias("k"))
+    return keys(hit, "ht").join(keys(summary, "st"), "k").select("ht", "st").distinct().mapInArrow(check, "ht string, st string")
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(s, h): the pairs of ``word_pairs`` without those that have authors on both sides and no family name in common.
+
+    Other authors cost more than title and year can give above the bound of ``scored_pairs``."""
+    tokens = lambda df, name: df.select("class", F.explode(F.array_distinct(F.flatten("people"))).alias(name))
+    of_hit, of_summary = tokens(right, "ht"), tokens(left, "st")
+    near_ = near_names(of_hit.select("ht").distinct(), of_summary.select("st").distinct())
+    known = of_hit.join(near_, "ht").groupBy(F.col("class").alias("h")).agg(F.collect_set(F.xxhash64("st")).alias("near"))
+    x = left.select(F.col("class").alias("s"), F.transform(F.array_distinct(F.flatten("people")), lambda t: F.xxhash64(t)).alias("own"))
+    # null where a hit names no authors
+    y = right.select(F.col("class").alias("h"), (F.size("people") > 0).alias("named")).join(known, "h", "left")
+    y = y.select("h", F.when(F.col("named"), F.coalesce("near", F.array().cast("array<bigint>"))).alias("near"))
+    both = word_pairs(left, right).join(x, "s").join(y, "h")
+    return both.filter(F.col("near").isNull() | (F.size("own") == 0) | F.arrays_overlap("own", "near")).select("s", "h")
+
+
 def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(s, h, source, theta): candidate pairs of content classes with their log-odds, hopeless ones left out."""
-    pairs = word_pairs(left, right)
+    pairs = candidates(left, right)
     fields = ["words", "main", "cut", "people", "year"]
     x = left.select(F.col("class").alias("s"), *fields)
     y = right.select(F.col("class").alias("h"), *[F.col(c).alias(f"{c}2") for c in fields], "source")
@@ -293,20 +378,23 @@ def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _crowd(group: list[str], incoming: str, out: str, penalty: float):
-    """Factor messages: what the others of a group leave for each pair; sums per group, joined back."""
+    """Factor messages: what the others of a group leave for each pair; sums per group."""
 
     def step(df: DataFrame) -> DataFrame:
         e = F.exp(F.least(F.col(incoming), F.lit(HARD)))
-        total = df.groupBy(*group).agg(F.sum(e).alias("_all"))
-        rest = F.greatest(F.col("_all") - e, F.lit(0.0))
-        return df.join(total, group).withColumn(out, F.log((1 + rest * float(2.718281828459045**-penalty)) / (1 + rest))).drop("_all")
+        rest = F.greatest(F.sum(e).over(Window.partitionBy(*group)) - e, F.lit(0.0))
+        return df.withColumn("_rest", rest).withColumn(out, F.log((1 + F.col("_rest") * float(2.718281828459045**-penalty)) / (1 + F.col("_rest")))).drop("_rest")
 
     return step
 
 
 def propagate_beliefs(pairs: DataFrame, rounds: int = 120, damping: float = 0.5, tolerance: float = 1e-3) -> DataFrame:
     """(s, h, match_score): marginal probabilities of the pairs."""
-    now = checkpoint(pairs.select("s", "h", F.coalesce("source", F.lit("")).alias("source"), "theta", F.lit(0.0).alias("from_hit"), F.lit(0.0).alias("from_summary")))
+    size = lambda *group: F.count(F.lit(1)).over(Window.partitionBy(*group))
+    start = pairs.select("s", "h", F.coalesce("source", F.lit("")).alias("source"), "theta").withColumn("of_hit", size("h")).withColumn("of_summary", size("s", "source"))
+    start = checkpoint(start.select("s", "h", "source", "theta", F.lit(0.0).alias("from_hit"), F.lit(0.0).alias("from_summary"), ((F.col("of_hit") > 1) | (F.col("of_summary") > 1)).alias("rivals")))
+    # a pair that is alone in both factors gets no messages
+    alone, now = start.filter(~F.col("rivals")), start.filter("rivals").drop("rivals")
     mix = lambda new, old: F.col(new) * (1 - damping) + F.col(old) * damping
     for _ in range(rounds):
         step = now.withColumns({"to_hit": F.col("theta") + F.col("from_summary"), "to_summary": F.col("theta") + F.col("from_hit")})
@@ -324,7 +412,7 @@ def propagate_beliefs(pairs: DataFrame, rounds: int = 120, damping: float = 0.5,
     else:
         raise RuntimeError(f"messages have not come to rest after {rounds} rounds: {worst}")
     belief = F.col("theta") + F.col("from_hit") + F.col("from_summary")
-    return now.select("s", "h", (1 / (1 + F.exp(-belief))).alias("match_score"))
+    return now.select("s", "h", "theta", "from_hit", "from_summary").unionByName(alone.select("s", "h", "theta", "from_hit", "from_summary")).select("s", "h", (1 / (1 + F.exp(-belief))).alias("match_score"))
 
 
 def matches(summaries: DataFrame, hits: DataFrame, least: float = 0.5) -> DataFrame:

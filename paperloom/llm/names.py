@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ ORG_SHORT = {"ctr": "centre", "center": "centre", "wg": "group", "grp": "group",
 _LETTERS = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ð": "d", "þ": "th"})
 
 
+@lru_cache(1 << 15)
 def fold(token: str) -> str:
     """A token without case, accents and the second letter of a written-out umlaut."""
     flat = unicodedata.normalize("NFKD", token.casefold().translate(_LETTERS))

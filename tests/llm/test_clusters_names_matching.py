@@ -183,6 +183,36 @@ def test_every_acceptable_pair_is_scored(spark):
     assert found == want and len(want) > 50
 
 
+def test_pairs_of_other_authors_are_left_out_before_scoring(spark):
+    people = [["Ann Kowalski"], ["Kowalsky, A."], ["Bo Lindqvist", "Ann Weiss"], ["Li Wu"], ["Lo Wux", "Bo Lindqivst"], [], None, ["et al."], ["Eve Stranger; Bo Weis"]]
+    s = [(f"k{i}", T1, p, y, "x", "") for i, (p, y) in enumerate((p, y) for p in people for y in (None, 2020))]
+    h = [(i, t, p, y, "y", None, "") for i, (t, p, y) in enumerate((t, p, y) for t in (T1, "Joint bias of the deep") for p in people for y in (None, 2020))]
+    left, right = (M.parsed(M.classes(spark.createDataFrame(rows, kind), key)[0]).localCheckpoint() for rows, kind, key in ((s, S, "citation_key"), (h, H, "seq")))
+    got = {(r.s, r.h) for r in M.candidates(left, right).collect()}
+    theta = lambda x, y: M.PRIOR + M.title_score((x.words, x.main, x.cut), (y.words, y.main, y.cut)) + M.author_score(x.people, y.people) + M.year_score(x.year, y.year)
+    every = {(x["class"], y["class"]): (theta(x, y), M.author_score(x.people, y.people)) for x in left.collect() for y in right.collect()}
+    # no pair above the bound is lost, and none is kept for its title alone
+    assert {k for k, (score, _) in every.items() if score > -5} <= got
+    assert all(every[k][1] > M.AUTHORS_OTHER for k in got) and len(got) < len(every)
+    assert M.PRIOR + M.TITLE_SAME + max(M.YEAR.values()) + M.AUTHORS_OTHER <= -5
+
+
+def test_all_keys_are_joined_where_too_many_are_asked_for(spark, monkeypatch):
+    s = [(f"k{i}", t, ["Ann Kowalski"], 2020, "x", "") for i, t in enumerate((T1, T2, "Sparse data bases", "Data of sparse"))]
+    h = [(i, t, ["Ann Kowalski"], 2020, "y", None, "") for i, t in enumerate((T1, T2, "Sparse databases", "Spares dta"))]
+    left, right = (M.parsed(M.classes(spark.createDataFrame(rows, kind), key)[0]).localCheckpoint() for rows, kind, key in ((s, S, "citation_key"), (h, H, "seq")))
+    found = {(r.s, r.h) for r in M.word_pairs(left, right).collect()}
+    monkeypatch.setattr(M, "MOST_KEYS", 0)
+    assert {(r.s, r.h) for r in M.word_pairs(left, right).collect()} == found and len(found) >= 4
+
+
+def test_pairs_without_rivals_need_no_rounds(spark):
+    pairs = spark.createDataFrame([(1, 10, "x", 2.0), (2, 11, None, -1.0)], "s bigint, h bigint, source string, theta double")
+    # with rivals this would be an error
+    got = {r.s: r.match_score for r in M.propagate_beliefs(pairs, rounds=1, tolerance=0.0).collect()}
+    assert got == {1: pytest.approx(0.880797, abs=1e-6), 2: pytest.approx(0.268941, abs=1e-6)}
+
+
 def test_beliefs_share_a_hit(spark):
     pairs = spark.createDataFrame([(1, 10, "x", 2.0), (2, 10, "x", 2.0), (3, 11, "x", 2.0), (4, 12, None, 9.0), (5, 12, None, -1.0)], "s bigint, h bigint, source string, theta double")
     got = {(r.s, r.h): r.match_score for r in M.propagate_beliefs(pairs).collect()}
