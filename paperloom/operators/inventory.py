@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions.text import cache_key, nonempty
 from paperloom.operators import overlap
@@ -143,12 +142,14 @@ def related_papers(library: DataFrame, profiles: DataFrame, most: int = 5) -> Da
         found = [(index.idents[at], n) for at, n in overlap.top(index, words, most + 1) if index.idents[at] != paper]
         return [(key, rank, float(n)) for rank, (key, n) in enumerate(found[:most], 1)]
 
+    def merge(before: overlap.Found, found: overlap.Found) -> overlap.Found:
+        # of papers that share as many, those of the blocks before come first
+        both = sorted([*before, *found], key=lambda r: -r[2])[:most]
+        return [(key, rank, n) for rank, (key, _, n) in enumerate(both, 1)]
+
     named = F.col("citation_key").isNotNull()
     asked = profiles.filter(named & F.col("keywords").isNotNull()).select(F.col("citation_key").alias("query"), F.array_distinct("keywords").alias("words"))
     items = library.filter(named & F.col("abstract").isNotNull()).select(F.col("citation_key").alias("ident"), F.lit(0).alias("rank"), "abstract")
-    found, blocks = overlap.asked(items, keywords(F.col("abstract")), asked, search)
+    found, _ = overlap.asked(items, keywords(F.col("abstract")), asked, search, merge=merge)
     best = found.select(F.col("query").alias("paper"), F.col("ident").alias("citation_key"), F.col("value").cast("bigint").alias("shared"), "rank")
-    if blocks > 1:
-        rank = F.row_number().over(Window.partitionBy("paper").orderBy(F.col("shared").desc(), "citation_key"))
-        best = best.withColumn("rank", rank).filter(F.col("rank") <= most)
     return best.select("paper", "citation_key", "shared", F.round(F.col("shared") * 0.1, 6).alias("score"), "rank")

@@ -9,6 +9,8 @@ Blocks bound the memory; the work is that of all pairs, at some hundredths of a
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,10 +21,11 @@ from pyspark.sql import functions as F
 from paperloom.runtime import checkpoint
 
 BLOCK = 1 << 20  # items of a block, about
-PIECE = 1 << 16  # items that are packed at a time at most
+PIECE = 1 << 16  # items that are packed at a time at most, so that a position takes two bytes
+KEPT = 1 << 14  # answers that are kept for queries of the same words, at most
 
 Slices = list[np.ndarray]
-_ROW = "piece long, at int, word string, n int, bits binary, idents array<string>, ranks array<int>, sizes array<int>"
+_ROW = "piece long, at int, word string, n int, bits binary, idents binary, ranks array<int>, sizes array<int>"
 
 
 def packed(items: DataFrame, words: Column, pieces: int) -> DataFrame:
@@ -45,19 +48,19 @@ def packed(items: DataFrame, words: Column, pieces: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (layer[1:] != layer[:-1])]) if len(codes) else np.zeros(0, np.int64)
         counts, bits = [], []
         for a, b in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
-            if (b - a) * 32 > n:
+            if (b - a) * 16 > n:
                 flat = np.zeros(n, np.uint8)
                 flat[rows[a:b]] = 1
                 counts.append(-1)
-                bits.append(np.packbits(flat, bitorder="little").tobytes())
+                bits.append(zlib.compress(np.packbits(flat, bitorder="little").tobytes(), 1))
             else:
                 counts.append(b - a)
-                bits.append(rows[a:b].astype(np.uint32).tobytes())
+                bits.append(zlib.compress(rows[a:b].astype(np.uint16).tobytes(), 1))
         k, spread = len(starts), np.bincount(rows, minlength=n) if len(rows) else np.zeros(n, np.int64)
         own = lambda values, kind: pa.array([values, *[None] * k], pa.list_(kind))
         cols = [
             pa.array([(at << 32) + number] * (k + 1), pa.int64()), pa.array(np.r_[0, layer[starts]], pa.int32()), pa.array([None, *coded.dictionary.take(pa.array(codes[starts])).to_pylist()], pa.string()), pa.array([n, *counts], pa.int32()),
-            pa.array([None, *bits], pa.binary()), own(idents.to_pylist(), pa.string()), own(ranks, pa.int32()), own(spread, pa.int32()),
+            pa.array([None, *bits], pa.binary()), pa.array([zlib.compress(json.dumps(idents.to_pylist()).encode(), 1), *[None] * k], pa.binary()), own(ranks, pa.int32()), own(spread, pa.int32()),
         ]
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _ROW.split(", ")])
 
@@ -104,13 +107,14 @@ class Index:
         self._parts: dict[str, dict[int, list[tuple[int, int, bytes]]]] = {}
         self._start, self._n = 0, 0
         self._bits: dict[str, list[np.ndarray]] = {}
+        self._tops: dict[tuple, list[tuple[int, int]]] = {}
 
-    def add(self, at: int, word: str | None, n: int, bits: bytes | None, idents: list, ranks: list, sizes: list) -> None:
+    def add(self, at: int, word: str | None, n: int, bits: bytes | None, idents: bytes | None, ranks: list, sizes: list) -> None:
         """One row of the index; the row of a piece's items comes first."""
         if word is None:
             # a piece begins at a whole word of bits
             fill = -len(self.idents) % 64
-            self.idents += [""] * fill + idents
+            self.idents += [""] * fill + json.loads(zlib.decompress(idents))
             self._ranks += [-1] * fill + ranks
             self._sizes += [0] * fill + sizes
             self._start, self._n = len(self.idents) - n, n
@@ -125,10 +129,10 @@ class Index:
         out = np.zeros(self.length * 8, np.uint8)
         for start, n, bits in parts:
             if n >= 0:
-                raw = np.frombuffer(bits, np.uint8)
+                raw = np.frombuffer(zlib.decompress(bits), np.uint8)
                 out[start // 8 : start // 8 + len(raw)] |= raw
             else:
-                at = np.frombuffer(bits, np.uint32).astype(np.int64) + start
+                at = np.frombuffer(zlib.decompress(bits), np.uint16).astype(np.int64) + start
                 np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return out.view(np.uint64)
 
@@ -176,6 +180,9 @@ def positions(mask: np.ndarray, most: int | None = None) -> np.ndarray:
 
 def top(index: Index, words: list[str], most: int) -> list[tuple[int, int]]:
     """(position, shared) of the first ``most`` items by shared words, then by position, of those that share any."""
+    key = (most, *sorted(words))
+    if key in index._tops:
+        return index._tops[key]
     slices, out = index.counts(words), []
     todo = [(None, 0, len(slices) - 1)]
     # the highest counts first: with the highest slice's bit before without it
@@ -190,6 +197,9 @@ def top(index: Index, words: list[str], most: int) -> list[tuple[int, int]]:
             part = part if mask is None else mask & part
             if (bit or count or i) and part.any():
                 todo.append((part, count + (bit << i), i - 1))
+    if len(index._tops) >= KEPT:
+        index._tops.clear()
+    index._tops[key] = out
     return out
 
 
@@ -224,10 +234,14 @@ def similar(index: Index, words: list[str], least: float) -> tuple[np.ndarray, n
     return at[good], s[good]
 
 
-def asked(items: DataFrame, words: Column, queries: DataFrame, search: Callable[[Index, str, list[str]], list[tuple[str, int, float]]], slices: int | None = None, block: int = BLOCK) -> tuple[DataFrame, int]:
+Found = list[tuple[str, int, float]]
+
+
+def asked(items: DataFrame, words: Column, queries: DataFrame, search: Callable[[Index, str, list[str]], Found], slices: int | None = None, block: int = BLOCK, merge: Callable[[Found, Found], Found] | None = None) -> tuple[DataFrame, int]:
     """(query, ident, rank, value) that ``search`` gives for each query (query string, words array<string>) in each block of the items; the number of blocks.
 
-    Rows of one query are one, with the words of all of them."""
+    Rows of one query are one, with the words of all of them. With ``merge``, a task goes through all blocks, in the
+    order of their idents, and of each query only that is given which ``merge`` leaves of the blocks before and the next one."""
     spark = items.sparkSession
     slices = slices or max(1, spark.sparkContext.defaultParallelism)
     n = items.count()
@@ -240,32 +254,49 @@ def asked(items: DataFrame, words: Column, queries: DataFrame, search: Callable[
     index = index.filter("word is null").unionByName(index.join(used, "word", "left_semi"))
     home = F.floor(F.shiftright("piece", 32) * blocks / pieces).cast("int")
     kinds = [c.split() for c in _ROW.split(", ")]
-    names = [c for c, _ in kinds]
-    left = index.select(home.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), *names, F.lit(None).cast("string").alias("query"), F.lit(None).cast("array<string>").alias("asked"))
+    names, rows = [c for c, _ in kinds], ["block", *[c for c, _ in kinds], "query", "asked"]
+    left = index.select(home.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), *names, F.lit(None).cast("string").alias("query"), F.lit(None).cast("string").alias("asked"))
     # behind all pieces of the index
     nulls = [F.lit(1 << 62).cast("long").alias("piece"), *[F.lit(None).cast(kind).alias(c) for c, kind in kinds[1:]]]
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int").alias("slice"), *nulls, "query", F.col("words").alias("asked"))
-    both = left.unionByName(right).withColumn("task", F.col("block") * slices + F.col("slice"))
-    placed = both.repartitionById(blocks * slices, F.col("task")).sortWithinPartitions("piece", F.col("word").asc_nulls_first(), "query").select(*names, "query", "asked")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int").alias("slice"), *nulls, "query", F.to_json("words").alias("asked"))
+    both = left.unionByName(right).withColumn("task", F.col("slice") if merge else F.col("block") * slices + F.col("slice"))
+    placed = both.repartitionById(slices if merge else blocks * slices, F.col("task")).sortWithinPartitions("block", "piece", F.col("word").asc_nulls_first(), "query").select(*rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, last, words = Index(), None, []
+        index, at, last, words = Index(), None, None, []
+        best: dict[str, Found] = {}
+
+        def answer() -> list[tuple]:
+            if last is None:
+                return []
+            found = search(index, last, words)
+            if merge and blocks > 1:
+                found = merge(best.pop(last, []), found)
+                if at < blocks - 1:
+                    best[last] = found
+                    return []
+            return [(last, *r) for r in found]
+
         for b in batches:
             out: list[tuple] = []
-            for *row, query, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for of, *row, query, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if of != at:
+                    out += answer()
+                    index, at, last, words = Index(), of, None, []
                 if query is None:
                     index.add(*row[1:])
-                elif query == last:
+                    continue
+                asks = json.loads(asks)
+                if query == last:
                     words = words + asks
                 else:
                     if last is None:
                         index.close()
                     else:
-                        out += [(last, *r) for r in search(index, last, words)]
+                        out += answer()
                     last, words = query, asks
             yield _found(out)
-        if last is not None:
-            yield _found([(last, *r) for r in search(index, last, words)])
+        yield _found(answer())
 
     return placed.mapInArrow(run, "query string, ident string, rank int, value double"), blocks
 

@@ -250,6 +250,23 @@ def test_related_papers_write_no_pairs(spark):
     assert [(r.citation_key, r.shared, r["rank"]) for r in got.filter("paper = 'k01'").orderBy("rank").collect()] == [("k00", 2, 1), ("k02", 2, 2), ("k03", 2, 3), ("k04", 2, 4), ("k05", 2, 5)]
 
 
+def test_related_papers_of_several_blocks_are_not_shuffled(spark, monkeypatch):
+    """What the blocks give is merged where it is found; the result is that of one block."""
+    from paperloom.operators import overlap
+
+    rng = random.Random(3)
+    rows = [(f"k{i:04d}", " ".join(rng.choices("neural models graph sparse bayesian causal vision speech".split(), k=3)), rng.choice([None, 1])) for i in range(900)]
+    papers = spark.createDataFrame([*rows, rows[5]], "citation_key string, abstract string, n int")
+    profiles = papers.select("citation_key", F.split("abstract", " ").alias("keywords"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, inventory.related_papers(papers, profiles).collect()))
+    asked = overlap.asked
+    monkeypatch.setattr(overlap, "asked", lambda *a, **k: asked(*a, **k, block=300))
+    got = inventory.related_papers(papers, profiles)
+    assert sorted(map(tuple, got.collect())) == whole and len(whole) >= 4500
+    assert "Window" not in plan(got)
+
+
 def test_titles_are_asked_without_a_join_on_words(spark):
     from paperloom.plans.payload_queries import by_title
 
